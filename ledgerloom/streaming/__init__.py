@@ -1,0 +1 @@
+"""The workload is a batch recomputation; there is no streaming operator to provide."""
