@@ -154,7 +154,128 @@ def _invoice(spark, sf_dir):
         .otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
+def _rendered(spark, sf_dir):
+    """Lines of text of every invoice in one of five layouts, the way suppliers print them."""
+    inv = derived(spark, sf_dir, "invoice").withColumn(
+        "form", F.when(F.col("ocr"), F.pmod(F.expr("ok div 7"), F.lit(4))).otherwise(F.pmod(F.expr("ok div 7"), F.lit(5))))
+    no, po, day, due = F.col("invoice_no"), F.col("po_no"), F.col("invoice_date"), F.col("due_date")
+    e, g, i = (F.format_number(F.col(f"subtotal.{n}"), 2) for n in ("amount_excl", "gst", "amount_incl"))
+
+    def line(label: str, value) -> object:
+        return F.concat(F.lit(label), value)
+
+    def date(c, fmt: str):
+        return F.date_format(c, fmt)
+
+    name = F.when(F.col("supplier").isNotNull(), F.concat("ledger_supplier", F.lit(" Pte Ltd")))
+    wide = 24
+
+    def columns(*cells):
+        return F.concat(*[F.coalesce(F.rpad(c, wide, " "), F.lit("")) for c in cells])
+
+    heads = {
+        0: [name, F.lit("TAX INVOICE"), line("Invoice No: ", no), line("Invoice Date: ", date(day, "dd/MM/yyyy")),
+            line("Due Date: ", date(due, "dd/MM/yyyy")), line("PO No: ", po)],
+        1: [name, line("Invoice Number ", no), line("Due Date: ", date(due, "dd/MM/yyyy")),
+            line("Date: ", date(day, "yyyy-MM-dd")), line("Your Ref: ", po), F.lit("Terms of delivery on request")],
+        2: [name, F.coalesce(line("Tax Invoice ", no), F.lit("Tax Invoice")),
+            line("Invoice Date: ", date(day, "d MMMM yyyy")), line("Reference ", po)],
+        3: [name,
+            columns(F.when(no.isNotNull(), F.lit("Invoice Number")), F.when(day.isNotNull(), F.lit("Invoice Date")), F.lit("Reference")),
+            columns(no, date(day, "dd/MM/yyyy"), po)],
+        4: [name, F.lit("TAX INVOICE"), F.lit("Goods supplied as listed in the schedule below"), F.lit("Currency SGD")],
+    }
+    feet = {
+        0: [line("Subtotal ", e), line("GST 9% ", g), line("Total SGD ", i)],
+        1: [line("TOTAL EXCL. GST ", e), line("GST 9% ", g), line("TOTAL USD ", i)],
+        2: [line("Untaxed Amount S$ ", e), line("TAX 9% S$ ", g), F.concat(F.lit("Total S$ "), i, F.lit(" ."))],
+        3: [line("Items Sub-Total ", e), F.concat(F.lit(" " * 40), F.lit("TOTAL CURRENCY")),
+            F.concat(F.lit(" " * 40), i, F.lit(" SGD"))],
+        4: [F.lit("Thank you for the order placed with our company")],
+    }
+
+    def pick(blocks):
+        chosen = None
+        for form, lines in blocks.items():
+            value = F.array(*lines)
+            chosen = F.when(F.col("form") == form, value) if chosen is None else chosen.when(F.col("form") == form, value)
+        return F.filter(chosen, lambda x: x.isNotNull())
+
+    head_cells = [(F.lit("Invoice No"), no), (F.lit("Invoice Date"), date(day, "yyyy-MM-dd")), (F.lit("PO No"), po),
+                  (F.lit("Due Date"), date(due, "yyyy-MM-dd")), (F.lit("Terms"), F.lit("30 Days"))]
+    item = F.transform("line_items", lambda x: F.array(
+        F.lit("1"), x["description"], F.format_number(x["qty"], 2), F.lit(""),
+        F.format_number(x["amount_excl"], 2), F.format_number(x["gst"], 2), F.format_number(x["amount_incl"], 2)))
+    goods = F.concat(
+        F.array(F.array(*[F.lit(h) for h in ("No", "Item  Description", "Qty", "Unit Price", "Amount Excl",
+                                             "GST Amount", "Total Amount")])),
+        item, F.array(F.array(F.lit("Total"), F.lit(""), F.lit(""), F.lit(""), e, g, i)))
+    tables = F.when(F.col("form") == 4, F.array(
+        F.array(F.array(*[h for h, _ in head_cells]), F.array(*[v for _, v in head_cells])), goods)
+    ).otherwise(F.array().cast("array<array<array<string>>>"))
+    return inv.select("doc_id", F.col("source_file").alias("path"), "ok", "ocr", "form",
+                      pick(heads).alias("head"), pick(feet).alias("foot"), tables.alias("tables"))
+
+
+def _page(spark, sf_dir):
+    """Native pages: scans show next to nothing, every third order has its totals on a second page."""
+    r = derived(spark, sf_dir, "rendered")
+    two = (F.col("ok") % 3 == 0) & ~F.col("ocr")
+    blank = F.array(F.lit(" ."))
+    parts = F.when(F.col("ocr"), F.array(blank)).when(two, F.array("head", "foot")).otherwise(
+        F.array(F.concat("head", "foot")))
+    p = r.select("doc_id", F.concat(F.lit("invoices/"), "path").alias("path"), "tables",
+                 F.posexplode(parts).alias("page", "lines"))
+    layout = F.array_join("lines", "\n")
+    return p.select("doc_id", "path", (F.col("page") + 1).cast("int").alias("page_no"),
+                    F.regexp_replace(layout, "[ ]{2,}", " ").alias("text"), layout.alias("layout_text"),
+                    F.when(F.col("page") == 0, F.col("tables")).otherwise(F.array()).alias("tables"))
+
+
+def _ocr_page(spark, sf_dir):
+    """What recognition sees on the scans; the first hyphen of the number reads as a tilde."""
+    r = derived(spark, sf_dir, "rendered").where("ocr")
+    layout = F.regexp_replace(F.array_join(F.concat("head", "foot"), "\n"), "INV-", "INV~")
+    return r.select("doc_id", F.lit(1).alias("page_no"),
+                    F.regexp_replace(layout, "[ ]{2,}", " ").alias("text"), layout.alias("layout_text"))
+
+
+def _word(spark, sf_dir):
+    """Word boxes of all rendered documents: nine pixels per column, one stray faint word per line."""
+    r = derived(spark, sf_dir, "rendered").select("doc_id", F.posexplode(F.concat("head", "foot")).alias("line", "text"))
+    w = r.select("doc_id", "line", "text", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    left = F.length(F.array_join(F.slice(F.split("text", " "), 1, F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
+    words = w.where("word <> ''").select(
+        "doc_id", F.lit(1).alias("page_no"), F.lit(1).alias("block"), F.lit(1).alias("par"),
+        F.col("line").cast("int").alias("line"), (left * 9 + F.col("i") % 9).cast("int").alias("left"),
+        F.when(F.col("i") % 5 == 4, F.lit("n/a")).otherwise((30 + F.col("i") % 60).cast("string")).alias("conf"),
+        F.col("word").alias("text"))
+    faint = r.select("doc_id", F.lit(1).alias("page_no"), F.lit(1).alias("block"), F.lit(1).alias("par"),
+                     F.col("line").cast("int").alias("line"), F.lit(2).alias("left"), F.lit("29").alias("conf"),
+                     F.lit("smudge").alias("text"))
+    return words.unionByName(faint)
+
+
+def _second_reader(spark, sf_dir):
+    """JSON answers for all documents, plain, fenced, with a lead-in, or cut off."""
+    inv = derived(spark, sf_dir, "invoice")
+    s = F.col("subtotal")
+    body = F.to_json(F.struct(
+        "invoice_no", F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "po_no", "supplier",
+        F.lit("SGD").alias("currency"), s["amount_excl"].cast("double").alias("amount_excl_gst"),
+        F.when(F.col("ok") % 4 == 1, F.lit(9.0)).when(F.col("ok") % 4 == 2, s["gst"].cast("double")).alias("gst"),
+        s["amount_incl"].cast("double").alias("amount_incl_gst"), "is_proforma",
+        F.transform("line_items", lambda x: F.struct(
+            x["description"].alias("description"), x["qty"].cast("double").alias("qty"),
+            x["amount_incl"].cast("double").alias("amount_incl_gst"))).alias("line_items")))
+    return inv.select("doc_id", F.when(F.col("ok") % 5 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+                      .when(F.col("ok") % 5 == 2, F.concat(F.lit("Here is the invoice: "), body, F.lit(" as asked.")))
+                      .when(F.col("ok") % 5 == 3, F.concat(F.lit("Sorry "), F.substring(body, 1, 20)))
+                      .otherwise(body).alias("response"))
+
+
 _BUILDERS = {
     "ledger0": _ledger0, "ledger": _ledger, "ledger_raw": _ledger_raw, "vendor": _vendor,
-    "invoice_base": _invoice_base, "invoice": _invoice,
+    "invoice_base": _invoice_base, "invoice": _invoice, "rendered": _rendered, "page": _page,
+    "ocr_page": _ocr_page, "word": _word, "second_reader": _second_reader,
 }
