@@ -92,7 +92,9 @@ def pair_nearest(docs: DataFrame, rows: DataFrame) -> DataFrame:
     ).unionByName(docs.select(
         "po_key", F.col("total").alias("amount"), F.lit(DOC).alias("kind"),
         F.col("pool_order").alias("ord"), F.col("doc_id").alias("ident")))
-    swept = (events.repartition("po_key").sortWithinPartitions("po_key", "amount", "kind", "ord")
+    # mapInPandas states no distribution of its own. Hashing the key a second time keeps Spark from taking
+    # this shuffle for a repetition of an earlier one and dropping it.
+    swept = (events.repartition(F.xxhash64("po_key")).sortWithinPartitions("po_key", "amount", "kind", "ord")
              .select("po_key", "kind", "amount", "ident")
              .mapInPandas(_sweep, "doc_id bigint, row_no bigint, incl decimal(18,2)"))
     return swept.withColumn("incl", F.nullif(F.col("incl"), far))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -12,33 +12,54 @@ from ledgerloom.operators.ledger import reconcilable
 from ledgerloom.sources.scratch import cut
 
 
-@dataclass(frozen=True)
 class Cascade:
-    prepared: DataFrame      # every document, with its duplicate and superseded marks
-    tagged: DataFrame        # live documents with the number match, if any
-    claimed: DataFrame       # ledger numbers claimed by documents
-    pool: DataFrame          # orders with documents no number matched
-    decisions: DataFrame     # how each such order is settled
-    documents: DataFrame     # one verdict per live document
-    unused: DataFrame        # ledger rows no document used
-    ledger: DataFrame        # ledger rows taking part
+    """The stages of a run, laid out when first asked for.
 
+    Three narrow tables are stored because several later stages read each of them: the documents tagged
+    with their number match, the decision per order, and the verdict per document. None holds texts or
+    line items, so together they are a small fraction of the invoices.
+    """
 
-def run_cascade(ledger: DataFrame, invoices: DataFrame, cfg: Config) -> Cascade:
-    """Lay out the whole cascade.
+    def __init__(self, ledger: DataFrame, invoices: DataFrame, cfg: Config):
+        self.ledger, self.invoices, self.cfg = reconcilable(ledger), invoices, cfg
 
-    Only the narrow table of tagged documents is stored: the pool, the claims, the verdicts and the
-    unused rows all read it.
-    """
-    rows = reconcilable(ledger)
-    groups = matching.ledger_groups(rows)
-    prepared = matching.prepare(invoices)
-    live = prepared.where("not is_duplicate and not is_superseded")
-    tagged = cut(matching.match_by_number(live, matching.number_totals(groups)))
-    claimed = matching.claimed_keys(tagged)
-    pool = matching.order_pool(tagged)
-    decisions = matching.order_decisions(pool, matching.order_rows(groups, claimed), cfg)
-    documents = matching.settle(tagged, decisions, rows, cfg)
-    used_orders = decisions.select("po_key")
-    return Cascade(prepared, tagged, claimed, pool, decisions, documents,
-                   matching.unused_rows(rows, claimed, used_orders, cfg), rows)
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """Every document, with its duplicate and superseded marks."""
+        return matching.prepare(self.invoices)
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return matching.ledger_groups(self.ledger)
+
+    @cached_property
+    def tagged(self) -> DataFrame:
+        """Live documents with the number match, if any."""
+        live = self.prepared.where("not is_duplicate and not is_superseded")
+        return cut(matching.match_by_number(live, matching.number_totals(self.groups)))
+
+    @cached_property
+    def claimed(self) -> DataFrame:
+        """Ledger numbers claimed by documents."""
+        return matching.claimed_keys(self.tagged)
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        """Orders with documents no number matched."""
+        return matching.order_pool(self.tagged)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """How each such order is settled."""
+        rows = matching.order_rows(self.groups, self.claimed)
+        return cut(matching.order_decisions(self.pool, rows, self.cfg))
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """One verdict per live document."""
+        return cut(matching.settle(self.tagged, self.decisions, self.ledger, self.cfg))
+
+    @cached_property
+    def unused(self) -> DataFrame:
+        """Ledger rows no document used."""
+        return matching.unused_rows(self.ledger, self.claimed, self.decisions, self.cfg)

@@ -69,10 +69,10 @@ LEDGER_RAW = """
 select case when ok%29=0 then null else status end as status,
  case when ok%7=0 then null else concat(substring(supplier,1,1), lower(substring(supplier,2,9)), ' Pte. Ltd') end as ordered_from,
  concat('brand ', lower(supplier)) as brand,
- case when ok%2=0 then concat(' ', lower(invoice_number), ' #') else invoice_number end as invoice_number,
+ case when ok%2=0 then ' ' || lower(invoice_number) || ' #' else invoice_number end as invoice_number,
  case when ok%8=3 then '' else concat(po_number, '.') end as po_number,
  unit_price as unit_cost, unit_no as units,
- case when seq%9=8 then null else cast(round(unit_price*unit_no*1.09,2) as decimal(18,2)) end as total_cost,
+ case when seq%9=8 then null else cast(round(cast(unit_price*unit_no as decimal(18,2))*1.09,2) as decimal(18,2)) end as total_cost,
  case when ok%4=0 then '30 Days from Invoice' when ok%4=1 then concat('net ', cast(ok%90 as string), 'days') end as notes,
  case when ok%43=0 then null else invoice_date end as invoice_date,
  description as item_description, row_no
