@@ -327,3 +327,128 @@ for _name, _levels in {"po_batch_match": "('order_batch')", "po_remainder_match"
         f" where match_level in {_levels}" if _levels else ""))
 for _name in ("ledger_only", "still_pending"):
     ORACLES[_name] = build(VERDICTS, f"select row_no, status, cast(incl as double) as incl from unused where outcome='{_name}'")
+
+# --- quality and candidates -----------------------------------------------------------------------
+
+_SHAPE = "coalesce(regexp_replace(regexp_replace({x},'\\d','9','g'),'[A-Za-z]','A','g'),'')"
+_PAIRS = "['O0','0O','I1','1I','L1','1L','S5','5S','B8','8B','Z2','2Z','G6','6G','Q0','0Q','D0','0D']"
+_AT = "upper(substr({x},cast(j as integer),1))"
+_N, _O = _AT.format(x="num"), _AT.format(x="other")
+
+QUALITY = VERDICTS + SIMILAR[len(CASCADE):] + [
+    ("shapes", f"select distinct supplier_key as sk, {_SHAPE.format(x='invoice_number')} as shape from ledger"),
+    ("history", """select supplier_key as sk, count(incl) as n_values, median(cast(incl as double)) as med from ledger group by 1"""),
+    ("shown", "select sk, count(*) as n_shapes, array_to_string(list(shape order by shape)[1:3],'/') as first_shapes from shapes group by 1"),
+    ("q0", f"""select v.doc_id, v.ocr, v.is_proforma, i.supplier, i.invoice_date, i.excl as e, i.gst as g, i.incl as i, b.baseline_key as sk,
+ coalesce(f.invoice_number, i.invoice_no) as num, {_SHAPE.format(x='coalesce(f.invoice_number, i.invoice_no)')} as shape
+ from verdicts v join inv i on v.doc_id=i.doc_id left join ledger f on f.row_no=v.fix_row
+ left join baseline_of b on b.name={_skey('i.supplier')}"""),
+    ("q1", """select q0.*, n_values, med, first_shapes, n_shapes>0 and not is_proforma
+  and not exists (select 1 from shapes s where s.sk=q0.sk and s.shape=q0.shape) as odd
+ from q0 left join history h on h.sk=q0.sk left join shown s on s.sk=q0.sk"""),
+    ("asked", "select distinct sk, num from q1 where odd and num is not null"),
+    ("nums", "select distinct supplier_key as sk, invoice_number as other from ledger where invoice_number is not null"),
+    ("cls", f"""select sk, num, other, len(list_filter(range(1,length(num)+1), lambda j: {_N}<>{_O})) as nd,
+ len(list_filter(range(1,length(num)+1), lambda j: {_N}<>{_O} and not list_contains({_PAIRS}, {_N}||{_O}))) as nbad
+ from asked join nums using (sk) where num<>other and length(num)=length(other)"""),
+    ("hits", "select sk, num, array_to_string(list(other order by other)[1:3],' / ') as t from cls where nd between 1 and 3 and nbad=0 group by 1,2"),
+    ("pre", """select sk, num, array_to_string(list(other order by other)[1:3],' / ') || case when count(*)>3 then '...' else '' end as t
+ from asked join nums using (sk) where num<>other and length(num)>=4 and starts_with(other,num) group by 1,2"""),
+    ("flags", f"""select doc_id, list_filter([
+  case when n_values>=3 and med>0 and (i*10<med or i>med*10) then {_fill("Amount {} is more than 10x off this supplier's median of {}", _txt('i'), _txt('round(cast(med as decimal(18,3)),2)'))} end,
+  case when odd then {_fill("Invoice number format {} doesn't match this supplier's ledger formats ({})", 'shape', 'first_shapes')}
+   || coalesce('; '||coalesce({_q(Q.MISREAD)}||hits.t, {_q(Q.TRUNCATED)}||pre.t), '') end,
+  case when invoice_date is null then {_q(Q.NO_DATE)} end,
+  case when abs(e+g-i)>0.05 then {_q(Q.UNEQUAL)} end,
+  case when i>0 and e<>0 and not (i-e>=0 and i-e<i*0.15) then 'Unusual tax rate: '||cast(round(cast((i-e) as double)/cast(i as double)*100,1) as varchar)||'%' end,
+  case when ocr then {_q(Q.BY_OCR)} end,
+  case when supplier is null then {_q(Q.NO_SUPPLIER)} end], lambda x: x is not null) as reasons
+ from q1 left join hits on odd and hits.sk=q1.sk and hits.num=q1.num left join pre on odd and pre.sk=q1.sk and pre.num=q1.num"""),
+]
+ORACLES["quality_flags"] = build(QUALITY, "select doc_id, array_to_string(reasons,' | ') as quality_flags from flags")
+_FLAGGED = QUALITY + LINES[len(VERDICTS):]
+ORACLES["flagged_documents"] = build(_FLAGGED, """select distinct outcome,
+ coalesce(invoice_number,'(number not recognized)')||' · '||coalesce(supplier,'None')||' · '||source_file as label,
+ array_to_string(reasons,' | ') as quality_flags from lines join flags using (doc_id) where len(reasons)>0""")
+ORACLES["highlight_counts"] = build(_FLAGGED, """select outcome, coalesce(len(reasons),0)>0 as flagged, count(*) as n
+ from lines left join flags using (doc_id) group by 1,2""")
+ORACLES["candidate_topk"] = build(VERDICTS + SIMILAR[len(CASCADE):] + [
+    ("groups", """select invoice_key, coalesce(sum(incl),0) as amount, arg_min(supplier_key,row_no) as sk, arg_min(supplier,row_no) as sup,
+ arg_min(invoice_number,row_no) as num, arg_min(invoice_date,row_no) as d from ledger where invoice_key is not null group by 1"""),
+    ("scored_all", f"""select v.doc_id, num as invoice_number, sup as ledger_supplier, d as ledger_date, amount, invoice_key,
+ cast(amount-v.total as decimal(18,2)) as amount_diff, abs(date_diff('day', d, i.invoice_date)) as date_gap, similarity
+ from verdicts v join inv i on v.doc_id=i.doc_id join sim_pairs s on s.left_name={_skey('i.supplier')} join groups g on g.sk=s.right_name
+ where v.outcome='invoice_only' and v.k is not null"""),
+    ("best", """select *, row_number() over (partition by doc_id order by score desc, invoice_key) as rank from (
+ select *, cast(coalesce(greatest(60-abs(amount_diff),0),0) + coalesce(greatest(30-date_gap,0),0) as double) + similarity*0.1 as score from scored_all)"""),
+], """select doc_id, rank, invoice_number, ledger_supplier, cast(ledger_date as varchar) as ledger_date, cast(amount as double) as amount,
+ cast(amount_diff as double) as amount_diff, date_gap, score from best where rank<=5""")
+
+# --- reading texts: the values the texts were printed from -----------------------------------------
+
+_DUE = "case when form in (0,1,4) then cast(due_date as varchar) end"
+_CUR = "case when form=1 then 'USD' else 'SGD' end"
+_LETTERHEAD = "case when supplier is not null then ledger_supplier||' Pte Ltd' end"
+_MONEY = "format('{:,.2f}', cast(%s as double))"
+_DMY = "strftime(%s,'%%d/%%m/%%Y')"
+
+ORACLES["header_extract"] = build(BASE, f"""select doc_id, invoice_no, cast(invoice_date as varchar) as invoice_date, {_DUE} as due_date, po_no,
+ {_LETTERHEAD} as supplier, {_CUR} as currency, case when form=4 then '30 Days' end as terms from inv""")
+ORACLES["currency_detect"] = build(BASE, f"select doc_id, {_CUR} as currency from inv")
+ORACLES["label_below"] = build(BASE, f"""select doc_id,
+ case when invoice_no is null then null when form=0 then case when invoice_date is not null then 'Invoice' when due_date is not null then 'Due' else 'PO' end
+  when form=1 then case when due_date is not null then 'Due' when invoice_date is not null then 'Date' else 'Your' end
+  when form=3 then invoice_no end as below_no,
+ case when invoice_date is null then null when form=0 then case when due_date is not null then 'Due' else 'PO' end
+  when form=2 then 'Reference' when form=3 then {_DMY % 'invoice_date'} end as below_day,
+ case form when 1 then 'Terms' when 2 then 'Untaxed' when 3 then po_no end as below_po,
+ case when due_date is null then null when form=0 then 'PO' when form=1 then case when invoice_date is not null then 'Date' else 'Your' end end as below_due,
+ case form when 1 then 'GST' when 3 then {_MONEY % 'incl'} end as below_total from inv""")
+ORACLES["table_kv"] = build(BASE, """select doc_id, e.k as key, e.v as value from (select doc_id, unnest([
+ struct_pack(k:='invoice no', v:=invoice_no), struct_pack(k:='invoice date', v:=cast(invoice_date as varchar)), struct_pack(k:='po no', v:=po_no),
+ struct_pack(k:='due date', v:=cast(due_date as varchar)), struct_pack(k:='terms', v:='30 Days')]) as e from inv where form=4) where e.v is not null""")
+ORACLES["item_table"] = build(BASE, """select doc_id, cast(excl as double) as excl, cast(gst as double) as gst, cast(incl as double) as incl,
+ case when ok%2=0 then 'Goods of '||po_no end as description, case when ok%2=0 then cast(qty as double) end as qty,
+ case when ok%2=0 then cast(incl as double) end as item_incl from inv where form=4""")
+ORACLES["totals_extract"] = build(BASE, """select doc_id, case when form<3 then cast(excl as double) end as t_excl,
+ case when form<3 then cast(gst as double) end as t_gst, case when form<3 then cast(incl as double) end as t_incl from inv""")
+ORACLES["totals_algebra"] = build(BASE, """
+, a as (select row_no, cast(case when row_no%13 in (0,1,2) then null when row_no%13=3 then -excl when row_no%13=4 then incl else excl end as decimal(18,2)) as e,
+ cast(case when row_no%13 in (0,4,5) then null when row_no%13=6 then 9 else incl-excl end as decimal(18,2)) as g,
+ cast(case when row_no%13 in (1,7) then null when row_no%13=8 then 0 else incl end as decimal(18,2)) as i from ledger0),
+b as (select row_no, case when e is null and g is null and i is not null then i else e end as e,
+ case when g is null and i is not null and (e is null or abs(e-i)<=0.01) then 0 else g end as g, i from a),
+c as (select row_no, e, case when abs(e+g-i)>0.05 then i-e else g end as g, i from b),
+d as (select row_no, case when e>0 then e end as e, case when coalesce(e<=0,false) or coalesce(i<=0,false) then null else g end as g, case when i>0 then i end as i from c)
+select row_no, cast(coalesce(e,i-g) as double) as e, cast(coalesce(g,i-e) as double) as g, cast(coalesce(i,e+g) as double) as i from d""").replace("\n\n, a as", ",\na as")
+
+_PAD = "coalesce(rpad(%s,24,' '),'')"
+_F3_HEADS = " || ".join(_PAD % x for x in ("case when invoice_no is not null then 'Invoice Number' end",
+                                           "case when invoice_date is not null then 'Invoice Date' end", "'Reference'"))
+_F3_VALUES = " || ".join(_PAD % x for x in ("invoice_no", _DMY % "invoice_date", "po_no"))
+_E, _G, _I = (_MONEY % x for x in ("excl", "gst", "incl"))
+ORACLES["layout_rebuild"] = build(BASE, f"""select doc_id, 1 as page_no, array_to_string(list_transform(list_filter(case form
+ when 0 then [{_LETTERHEAD}, 'TAX INVOICE', 'Invoice No: '||invoice_no, 'Invoice Date: '||{_DMY % 'invoice_date'}, 'Due Date: '||{_DMY % 'due_date'},
+  'PO No: '||po_no, 'Subtotal '||{_E}, 'GST 9% '||{_G}, 'Total SGD '||{_I}]
+ when 1 then [{_LETTERHEAD}, 'Invoice Number '||invoice_no, 'Due Date: '||{_DMY % 'due_date'}, 'Date: '||cast(invoice_date as varchar), 'Your Ref: '||po_no,
+  'Terms of delivery on request', 'TOTAL EXCL. GST '||{_E}, 'GST 9% '||{_G}, 'TOTAL USD '||{_I}]
+ when 2 then [{_LETTERHEAD}, coalesce('Tax Invoice '||invoice_no, 'Tax Invoice'), 'Invoice Date: '||strftime(invoice_date,'%-d %B %Y'), 'Reference '||po_no,
+  'Untaxed Amount S$ '||{_E}, 'TAX 9% S$ '||{_G}, 'Total S$ '||{_I}||' .']
+ when 3 then [{_LETTERHEAD}, {_F3_HEADS}, {_F3_VALUES}, 'Items Sub-Total '||{_E}, repeat(' ',40)||'TOTAL CURRENCY', repeat(' ',40)||{_I}||' SGD']
+ else [{_LETTERHEAD}, 'TAX INVOICE', 'Goods supplied as listed in the schedule below', 'Currency SGD', 'Thank you for the order placed with our company'] end,
+ lambda x: x is not null), lambda x: rtrim(x)), chr(10)) as layout_text from inv""")
+ORACLES["json_second_reader"] = build(BASE, """select doc_id, ok%5<>3 as valid, case when ok%5<>3 then invoice_no end as invoice_no,
+ case when ok%5<>3 then cast(invoice_date as varchar) end as invoice_date, case when ok%5<>3 then supplier end as supplier,
+ case when ok%5<>3 then cast(excl as double) end as excl,
+ case when ok%5<>3 then cast(case when ok%4=1 and abs(excl+9-incl)<=0.05 then 9 else gst end as double) end as gst,
+ case when ok%5<>3 then cast(incl as double) end as incl, case when ok%5<>3 then case when ok%2=0 then 1 else 0 end end as n_items from inv""")
+_READ = "(ocr or invoice_no is null) and ok%5<>3"
+ORACLES["invoice_extract"] = build(BASE, f"""select doc_id, source_file, invoice_no, po_no, supplier,
+ case when supplier is not null and ok%9<>4 then ledger_supplier||' Pte Ltd' end as supplier_from_body, {_CUR} as currency,
+ cast(invoice_date as varchar) as invoice_date, {_DUE} as due_date, is_proforma, ocr, case when form<>3 then cast(excl as double) end as excl,
+ case when form<>3 then cast(gst as double) end as gst, cast(incl as double) as incl, case when form=4 and ok%2=0 then 1 else 0 end as n_items from inv""")
+ORACLES["second_reader_merge"] = build(BASE, f"""select doc_id, invoice_no, cast(invoice_date as varchar) as invoice_date, supplier,
+ {_READ} and not is_proforma as second_reader, cast(incl as double) as incl,
+ case when ok%2=0 and (form=4 or ({_READ})) then 1 else 0 end as n_items from inv""")
+ORACLES["text_to_outcome"] = build(VERDICTS, """select outcome, coalesce(match_level,'none') as level, count(*) as n, cast(sum(total) as double) as total
+ from verdicts group by 1,2""")
