@@ -367,9 +367,9 @@ QUALITY = VERDICTS + SIMILAR[len(CASCADE):] + [
 ]
 ORACLES["quality_flags"] = build(QUALITY, "select doc_id, array_to_string(reasons,' | ') as quality_flags from flags")
 _FLAGGED = QUALITY + LINES[len(VERDICTS):]
-ORACLES["flagged_documents"] = build(_FLAGGED, """select distinct outcome,
- coalesce(invoice_number,'(number not recognized)')||' · '||coalesce(supplier,'None')||' · '||source_file as label,
- array_to_string(reasons,' | ') as quality_flags from lines join flags using (doc_id) where len(reasons)>0""")
+ORACLES["flagged_documents"] = build(_FLAGGED, """select outcome, label, arg_min(array_to_string(reasons,' | '), doc_id) as quality_flags from (
+ select *, coalesce(invoice_number,'(number not recognized)')||' · '||coalesce(supplier,'None')||' · '||source_file as label
+ from lines join flags using (doc_id) where len(reasons)>0) group by 1,2""")
 ORACLES["highlight_counts"] = build(_FLAGGED, """select outcome, coalesce(len(reasons),0)>0 as flagged, count(*) as n
  from lines left join flags using (doc_id) group by 1,2""")
 ORACLES["candidate_topk"] = build(VERDICTS + SIMILAR[len(CASCADE):] + [

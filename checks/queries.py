@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.config import Config
-from ledgerloom.functions import keys, texts, values
+from ledgerloom.functions import keys, patterns as P, texts, values
 from ledgerloom.operators import documents as docs_op
 from ledgerloom.operators import (
     candidates, filenames, headers, ledger as ledger_op, matching, outcome_lines, pairing, quality, review,
@@ -315,14 +315,14 @@ def repair_suggest(s, d):
 
 @query
 def similar_suppliers(s, d):
-    inv = derived(s, d, "invoice").select(keys.supplier_key(F.col("supplier")).alias("name"))
+    inv = derived(s, d, "invoice").select("supplier").distinct().select(keys.supplier_key(F.col("supplier")).alias("name"))
     led = derived(s, d, "ledger").select(F.col("supplier_key").alias("name"))
     return similar.similar_names(inv, led, CFG)
 
 
 @query
 def first_similar_supplier(s, d):
-    inv = derived(s, d, "invoice").select(keys.supplier_key(F.col("supplier")).alias("name"))
+    inv = derived(s, d, "invoice").select("supplier").distinct().select(keys.supplier_key(F.col("supplier")).alias("name"))
     seen = derived(s, d, "ledger").groupBy("supplier_key").agg(F.min("row_no").alias("first_row"))
     return quality.first_similar_supplier(inv, seen, CFG)
 
@@ -355,15 +355,16 @@ def currency_detect(s, d):
 
 @query
 def label_below(s, d):
-    g = gathered(s, d).select("doc_id", texts.lines_of(F.col("layout")).alias("lines"))
-    return g.select("doc_id", *[c.alias(n) for n, c in headers.below_labels(F.col("lines")).items()],
-                 texts.label_below(F.col("lines"), r"\bTOTAL\b").alias("below_total"))
+    g = gathered(s, d).select("doc_id", "layout", texts.lines_of(F.col("layout")).alias("lines"))
+    return g.select("doc_id", *[headers.below(F.col("layout"), F.col("lines"), label).alias(name) for name, label in (
+        ("below_no", P.BELOW_INVOICE_NO), ("below_day", P.BELOW_INVOICE_DATE), ("below_po", P.BELOW_PO_NO),
+        ("below_due", P.BELOW_DUE_DATE), ("below_total", P.BELOW_TOTAL))])
 
 
 @query
 def table_kv(s, d):
     g = docs_op.document_texts(derived(s, d, "page"))
-    return g.select("doc_id", F.explode(headers.table_values(F.col("tables"))).alias("key", "value")).where(
+    return headers.read_table_values(g, "tables").select("doc_id", F.explode("table_values").alias("key", "value")).where(
         "key in ('invoice no', 'invoice date', 'po no', 'due date', 'terms')")
 
 

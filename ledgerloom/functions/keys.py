@@ -23,9 +23,14 @@ CONFUSABLE_PAIRS = (("O", "0"), ("I", "1"), ("L", "1"), ("S", "5"), ("B", "8"),
                     ("Z", "2"), ("G", "6"), ("Q", "0"), ("D", "0"))
 
 
+# Every character that counts as white space.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space; ``trim`` alone only removes blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -84,13 +89,12 @@ def compare_text(c: Column) -> Column:
 def is_valid_number(c: Column) -> Column:
     """Whether a reading looks like an invoice number at all. Never NULL."""
     s = strip(c)
+    street = rf"\b(?:{'|'.join(STREET_WORDS_WHOLE)})\b|{'|'.join(STREET_WORDS_ANYWHERE)}"
     ok = (
-        ~F.upper(s).isin(*INVOICE_NO_STOPWORDS)
-        & s.rlike(r"(?U)\d")
+        s.rlike(r"(?U)\d")
         & (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}_]", "")) >= 4)
-        & ~s.rlike(r"(?U)^(19|20)\d{2}$")
-        & ~s.rlike(rf"(?iU)\b({'|'.join(STREET_WORDS_WHOLE)})\b")
-        & ~s.rlike(rf"(?iU)({'|'.join(STREET_WORDS_ANYWHERE)})")
+        & ~F.upper(s).isin(*INVOICE_NO_STOPWORDS)
+        & ~s.rlike(rf"(?iU)^(?:19|20)\d{{2}}$|{street}")
     )
     return F.coalesce(ok, F.lit(False))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from ledgerloom.functions.shipping import ship_with_tasks
 
@@ -40,6 +40,10 @@ def score(a: str, b: str) -> float:
     return max(best, _best_window(long, short)) if len(a) == len(b) else best
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Score of two name columns, computed on Arrow batches of already distinct pairs."""
+    return F.pandas_udf(_scores, "double")(a, b)

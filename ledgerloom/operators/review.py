@@ -31,8 +31,9 @@ def flagged_documents(lines: DataFrame) -> DataFrame:
     label = F.concat_ws(" · ", F.coalesce(blank_to_null(F.col("invoice_number")), F.lit(UNRECOGNISED)),
                         F.coalesce("supplier", F.lit("None")), "source_file")
     return (lines.where("size(quality_flags) > 0 and source_file is not null")
-            .select("outcome", label.alias("label"), "quality_flags", "source_file")
-            .dropDuplicates(["outcome", "label"]))
+            .select("outcome", label.alias("label"), "doc_id", F.struct("quality_flags", "source_file").alias("entry"))
+            .groupBy("outcome", "label").agg(F.min_by("entry", "doc_id").alias("entry"))
+            .select("outcome", "label", "entry.quality_flags", "entry.source_file"))
 
 
 def with_highlight(lines: DataFrame) -> DataFrame:

@@ -21,6 +21,19 @@ def max_edits(length: Column, threshold: float) -> Column:
     return F.floor((length + longest) * (1.0 - share) + 1e-9).cast("int")
 
 
+def min_common_bigrams(length: Column, threshold: float) -> Column:
+    """Fewest letter pairs of the shorter name that its counterpart must contain.
+
+    A letter dropped from the shorter name breaks two of its pairs, an inserted one breaks one. With L
+    letters kept that is at most m - L (3 - 2/s) pairs, worst for the fewest or for all letters kept.
+    """
+    share = threshold / 100.0
+    slope = 3.0 - 2.0 / share
+    fewest = F.ceil(length * (share / (2.0 - share)) - 1e-9)
+    broken = F.floor(F.greatest(length - fewest * slope, length - length * slope) + 1e-9)
+    return (length - 1 - broken).cast("int")
+
+
 def _pieces(name: Column, threshold: float) -> Column:
     """The name cut into one piece more than edits can damage (never shorter than one character)."""
     n = F.length(name)
@@ -34,19 +47,40 @@ def _grams(name: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substring(name, i, size))
 
 
+def _numbered_bigrams(name: Column) -> Column:
+    """The letter pairs with their occurrence numbers, so that a set intersection counts repeats."""
+    grams = F.when(F.length(name) > 1, _grams(name, F.lit(2))).otherwise(F.array().cast("array<string>"))
+    return F.transform(grams, lambda g, i: F.concat(
+        g, F.size(F.filter(F.slice(grams, 1, i), lambda h: h == g)).cast("string")))
+
+
+def _names(df: DataFrame) -> DataFrame:
+    """Distinct names with their letter pairs. The table is small and the work on it is not, so it is
+    spread over all cores by number; a shuffle by size would leave it in one task."""
+    n = df.where("name is not null").select("name").distinct().repartition(
+        df.sparkSession.sparkContext.defaultParallelism)
+    return n.withColumns({"bigrams": _numbered_bigrams(F.col("name")), "length": F.length("name")})
+
+
 def _candidates(short: DataFrame, long: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in which some piece of the shorter name occurs in the longer one.
+    """Pairs in which some piece of the shorter name occurs in the longer one, and enough letter pairs.
 
     Pairs at the threshold have an undamaged piece (one edit damages at most one piece), so none is
     lost. The longer side is cut only to the piece sizes that occur.
     """
-    pieces = short.select(F.col("name").alias("short"), F.explode(F.array_distinct(
-        _pieces(F.col("name"), threshold))).alias("piece"), F.length("name").alias("short_len"))
+    pieces = short.select(
+        F.col("name").alias("short"), F.col("bigrams").alias("short_bigrams"), F.col("length").alias("short_length"),
+        min_common_bigrams(F.col("length"), threshold).alias("needed"),
+        F.explode(F.array_distinct(_pieces(F.col("name"), threshold))).alias("piece"))
     longest_piece = math.ceil(1.0 / (2.0 * (1.0 - threshold / 100.0)) - 1e-9)
     sizes = F.sequence(F.lit(1), F.least(F.length("name"), F.lit(longest_piece)))
-    grams = long.select(F.col("name").alias("long"), F.length("name").alias("long_len"), F.explode(
-        F.array_distinct(F.flatten(F.transform(sizes, lambda k: _grams(F.col("name"), k))))).alias("piece"))
-    return pieces.join(grams, "piece").where("short_len <= long_len").select("short", "long").distinct()
+    grams = long.select(
+        F.col("name").alias("long"), F.col("bigrams").alias("long_bigrams"), F.col("length").alias("long_length"),
+        F.explode(F.array_distinct(F.flatten(
+            F.transform(sizes, lambda k: _grams(F.col("name"), k))))).alias("piece"))
+    common = F.size(F.array_intersect("short_bigrams", "long_bigrams"))
+    return (pieces.join(grams, "piece").where("short_length <= long_length").where(common >= F.col("needed"))
+            .select("short", "long").distinct())
 
 
 def similar_names(left: DataFrame, right: DataFrame, cfg: Config) -> DataFrame:
@@ -56,10 +90,10 @@ def similar_names(left: DataFrame, right: DataFrame, cfg: Config) -> DataFrame:
     number of suppliers and not the number of rows.
     """
     t = cfg.similarity_threshold
-    a = left.where("name is not null").select("name").distinct()
-    b = right.where("name is not null").select("name").distinct()
+    a, b = _names(left), _names(right)
     forward = _candidates(a, b, t).select(F.col("short").alias("left_name"), F.col("long").alias("right_name"))
     backward = _candidates(b, a, t).select(F.col("long").alias("left_name"), F.col("short").alias("right_name"))
-    return (forward.unionByName(backward).distinct()
-            .withColumn("similarity", similarity("left_name", "right_name"))
+    spread = a.sparkSession.sparkContext.defaultParallelism
+    return (forward.unionByName(backward).distinct().repartition(spread)
+            .withColumn("similarity", similarity(F.col("left_name"), F.col("right_name")))
             .where(F.col("similarity") >= t))
