@@ -16,6 +16,7 @@ from ledgerloom.plans import extraction
 from ledgerloom.plans.cascade import Cascade
 from ledgerloom.plans.reconcile import all_lines
 from ledgerloom.sources.derived import base_table, derived
+from ledgerloom.sources.scratch import cut, written
 from ledgerloom.sources.tables import file_kind
 
 CFG = Config(prior_period="1997")
@@ -202,8 +203,10 @@ def outcome_counts(s, d):
 def lines_of_run(s, d, flags=False):
     c = cascade(s, d)
     inv = derived(s, d, "invoice")
-    q = quality.quality_flags(quality.quality_input(c.documents, inv, c.ledger), c.ledger, CFG) if flags else None
-    return c, all_lines(c, inv, CFG, q)
+    q = None
+    if flags:
+        q = cut(quality.quality_flags(quality.quality_input(c.documents, inv, c.ledger), c.ledger, CFG))
+    return c, written(all_lines(c, inv, CFG, q), "outcome")
 
 
 @query
@@ -448,7 +451,6 @@ def second_reader_merge(s, d):
 @query
 def text_to_outcome(s, d):
     """From page text to verdict counts."""
-    from ledgerloom.sources.scratch import written
     x = written(extraction.extract_invoices(derived(s, d, "page"), derived(s, d, "ocr_page"), None, CFG), "extracted")
     c = Cascade(derived(s, d, "ledger"), x, CFG)
     return c.documents.groupBy("outcome", F.coalesce("match_level", F.lit("none")).alias("level")).agg(

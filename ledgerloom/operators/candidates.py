@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.config import Config
 from ledgerloom.functions.keys import supplier_key
 from ledgerloom.operators.similar import similar_names
+from ledgerloom.sources.scratch import cut
 
 
 def number_groups(ledger: DataFrame) -> DataFrame:
@@ -64,7 +65,8 @@ def rank_candidates(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFram
     among the best only if it is one of the supplier's first numbers (no points for amount or date), of
     the first numbers of a date in reach, of the nearest amounts in reach, or of the nearest amounts on a
     date in reach. Those few are looked up by equi-joins and merges, so the result equals the full
-    ranking. Documents with equal supplier, date and total share one lookup.
+    ranking. Documents with equal supplier, date and total share one lookup. The similar suppliers and
+    their ledger numbers serve every lookup and are stored.
     """
     k, reach = cfg.candidate_limit, cfg.date_weight - 1
     width = 2 * cfg.amount_weight
@@ -72,11 +74,12 @@ def rank_candidates(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFram
                         F.col("invoice_date").alias("date"), F.col("total").cast("decimal(18,2)").alias("total")
                         ).where("name is not null")
     groups = number_groups(ledger)
-    pairs = similar_names(named.select("name"), groups.select(F.col("supplier_key").alias("name")), cfg).select(
-        F.col("left_name").alias("name"), F.col("right_name").alias("supplier_key"), "similarity")
+    suppliers = ledger.where("invoice_key is not null").select(F.col("supplier_key").alias("name"))
+    pairs = cut(similar_names(named.select("name"), suppliers, cfg).select(
+        F.col("left_name").alias("name"), F.col("right_name").alias("supplier_key"), "similarity"))
     queries = named.select("name", "date", "total").distinct().join(pairs, "name").select(
         F.struct("name", "date", "total").alias("query"), "supplier_key")
-    points = groups.join(pairs.select("supplier_key").distinct(), "supplier_key", "left_semi")
+    points = cut(groups.join(pairs.select("supplier_key").distinct(), "supplier_key", "left_semi"))
 
     def bucket(amount: Column) -> Column:
         return F.floor(amount / width)
@@ -101,7 +104,7 @@ def rank_candidates(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFram
     ]
     scored = (found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
               .select("query", F.col("query.name").alias("name"), "invoice_key")
-              .join(groups, "invoice_key").join(pairs, ["name", "supplier_key"])
+              .join(points, "invoice_key").join(pairs, ["name", "supplier_key"])
               .withColumns({"amount_diff": (F.col("amount") - F.col("query.total")).cast("decimal(18,2)"),
                             "date_gap": F.abs(F.datediff("query.date", "ledger_date"))})
               .withColumn("score", _score(cfg)))

@@ -10,6 +10,7 @@ from ledgerloom.functions.keys import (
 from ledgerloom.functions.values import number_text
 from ledgerloom.operators.median import exact_median
 from ledgerloom.operators.similar import similar_names
+from ledgerloom.sources.scratch import cut
 
 # Wording of the reasons.
 NO_TOTAL = "Invoice total not extracted"
@@ -140,7 +141,8 @@ def quality_flags(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFrame:
     d = d.withColumn("probe", spread_null(F.col("baseline_key"), F.col("doc_id")))
     d = d.join(known, (d.probe == known.known_key) & (d["shape"] == known.known_shape), "left").drop("probe", "known_key")
     odd = (F.coalesce("n_shapes", F.lit(0)) > 0) & F.col("known_shape").isNull() & ~F.col("is_proforma")
-    d = d.withColumn("odd_shape", odd)
+    # The odd ones are looked up below and everything is reported after that: stored, not computed twice.
+    d = cut(d.withColumn("odd_shape", odd).drop("probe", "known_key", "known_shape", "n_shapes"))
 
     wanted = d.where("odd_shape and final_no is not null").select(
         F.col("baseline_key").alias("supplier_key"), strip(F.col("final_no")).alias("number")).distinct()
