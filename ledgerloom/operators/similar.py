@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.config import Config
 from ledgerloom.functions.similarity import similarity
 
 
-def max_edits(length: Column, threshold: float) -> Column:
-    """Most insertions and deletions that turn the shorter name into its counterpart at the threshold.
-
-    A score of s between lengths m and k leaves (1 - s/100)(m + k) edits, and k is at most
-    m (2 - s/100) / (s/100): beyond that even a full match scores less than s.
-    """
-    share = threshold / 100.0
-    longest = F.floor(length * ((2.0 - share) / share) + 1e-9)
-    return F.floor((length + longest) * (1.0 - share) + 1e-9).cast("int")
-
-
 def min_common_bigrams(length: Column, threshold: float) -> Column:
     """Fewest letter pairs of the shorter name that its counterpart must contain.
 
@@ -34,15 +21,6 @@ def min_common_bigrams(length: Column, threshold: float) -> Column:
     return (length - 1 - broken).cast("int")
 
 
-def _pieces(name: Column, threshold: float) -> Column:
-    """The name cut into one piece more than edits can damage (never shorter than one character)."""
-    n = F.length(name)
-    count = F.least(n, max_edits(n, threshold) + 1)
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(
-        name, F.floor(i * n / count).cast("int") + 1,
-        (F.floor((i + 1) * n / count) - F.floor(i * n / count)).cast("int")))
-
-
 def _grams(name: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substring(name, i, size))
 
@@ -62,24 +40,40 @@ def _names(df: DataFrame) -> DataFrame:
     return n.withColumns({"bigrams": _numbered_bigrams(F.col("name")), "length": F.length("name")})
 
 
-def _candidates(short: DataFrame, long: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in which some piece of the shorter name occurs in the longer one, and enough letter pairs.
+def _letters(name: Column) -> Column:
+    return F.array_distinct(_grams(name, F.lit(1)))
+
+
+def _with_marks(names: DataFrame, threshold: float) -> DataFrame:
+    """Marks to look names up by: their numbered bigrams, or where none of those is sure to stay (one-letter
+    names, low thresholds) their letters."""
+    n = names.where("length > 0").withColumn(
+        "needed", F.greatest(min_common_bigrams(F.col("length"), threshold), F.lit(0)))
+    return n.withColumn("mark", F.explode(F.when(F.col("needed") > 0, F.col("bigrams")).otherwise(_letters(F.col("name")))))
+
 
-    Pairs at the threshold have an undamaged piece (one edit damages at most one piece), so none is
-    lost. The longer side is cut only to the piece sizes that occur.
+def _rarest_marks(short: DataFrame, long: DataFrame, threshold: float) -> DataFrame:
+    """Each shorter name with just enough marks, the rarest first.
+
+    Of m - 1 bigrams a counterpart has at least the needed ones, so among any m - needed of them one is
+    shared (of letters, all are kept). Taking the rarest keeps a piece that a third of all names contain from pairing them all.
     """
-    pieces = short.select(
+    counts = long.groupBy("mark").agg(F.count("*").alias("freq"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("freq", F.lit(0)), "mark"))
+    return (_with_marks(short, threshold).join(counts, "mark", "left").withColumn("rank", rank)
+            .where(F.col("rank") <= F.col("length") - F.col("needed")))
+
+
+def _candidates(short: DataFrame, long: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share a mark and, for the shorter name, enough bigrams. No pair at the threshold is lost."""
+    marked = long.where("length > 0").withColumn("mark", F.explode(F.concat("bigrams", _letters(F.col("name")))))
+    s = _rarest_marks(short, marked, threshold).select(
         F.col("name").alias("short"), F.col("bigrams").alias("short_bigrams"), F.col("length").alias("short_length"),
-        min_common_bigrams(F.col("length"), threshold).alias("needed"),
-        F.explode(F.array_distinct(_pieces(F.col("name"), threshold))).alias("piece"))
-    longest_piece = math.ceil(1.0 / (2.0 * (1.0 - threshold / 100.0)) - 1e-9)
-    sizes = F.sequence(F.lit(1), F.least(F.length("name"), F.lit(longest_piece)))
-    grams = long.select(
-        F.col("name").alias("long"), F.col("bigrams").alias("long_bigrams"), F.col("length").alias("long_length"),
-        F.explode(F.array_distinct(F.flatten(
-            F.transform(sizes, lambda k: _grams(F.col("name"), k))))).alias("piece"))
+        "needed", "mark")
+    t = marked.select(F.col("name").alias("long"), F.col("bigrams").alias("long_bigrams"),
+                      F.col("length").alias("long_length"), "mark")
     common = F.size(F.array_intersect("short_bigrams", "long_bigrams"))
-    return (pieces.join(grams, "piece").where("short_length <= long_length").where(common >= F.col("needed"))
+    return (s.join(t, "mark").where("short_length <= long_length").where(common >= F.col("needed"))
             .select("short", "long").distinct())
 
 
