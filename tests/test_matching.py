@@ -2,7 +2,6 @@ import random
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import DAY, by_id, invoice_row, invoices, ledger, ledger_row
 from ledgerloom.config import Config

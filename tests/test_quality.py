@@ -3,8 +3,6 @@ from datetime import timedelta
 from decimal import Decimal as D
 from statistics import median
 
-from pyspark.sql import functions as F
-
 from helpers import DAY, by_id, invoice_row, invoices, ledger, ledger_row
 from ledgerloom.config import Config
 from ledgerloom.functions.similarity import score
