@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact_dedup, language, pieces, warc
+from ledgerloom.llm import exact_dedup, language, pieces, suffix_dedup, warc
 from ledgerloom.llm.common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -66,3 +66,29 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op7_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+     s AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 199)) AS p, x FROM d WHERE length(x) >= 400),
+     w AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 400)) AS k FROM s),
+     r AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+     g AS (SELECT *, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 AS opens FROM r),
+     i AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+     spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, span),
+     gaps AS (SELECT doc_id, span, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b, b - a AS cut FROM spans),
+     kept AS (SELECT doc_id, string_agg(substr(x, 2 * gaps.a + 1, 2 * (gaps.b - gaps.a)), '' ORDER BY gaps.a) AS front,
+                     max(gaps.b + cut) AS tail, sum(cut) AS n_removed, count(*) AS n_spans
+              FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
