@@ -3,7 +3,7 @@
 Normalisation walks the compiled character map of the model: at each place the longest mapped prefix is replaced, other
 characters stay, and the original byte offset of every normalised byte is recorded. Word starts then cut the normalised
 text: as no piece of the vocabulary holds a word mark after another character, merges never cross them, and each
-distinct word is merged once per task by the library and then looked up. Ends of pieces, in original bytes, come from the
+distinct word is merged once per worker by the library and then looked up. Ends of pieces, in original bytes, come from the
 recorded offsets; pieces are contiguous, so a piece starts where the one before it ends.
 
 Edge cases: null counts as empty; an empty text gives the end id alone with end offset 0. A word mark that the text
@@ -13,21 +13,25 @@ Columns named like the results are replaced; other columns stay.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 import sys
+import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
-CACHED_WORDS = 200_000
-LONG_WORD = 64
+WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+CACHED_WORDS = 400_000
 
 
 class CharacterMap:
@@ -124,7 +128,7 @@ class Normaliser:
 
 
 class Encoder:
-    """Encodes texts with one model; keeps the pieces of short words it has met."""
+    """Encodes texts with one model; keeps the pieces of the words it has met, as long as they are not too many."""
 
     def __init__(self, model: bytes, cached_words: int = CACHED_WORDS) -> None:
         import sentencepiece
@@ -139,68 +143,98 @@ class Encoder:
         proto.normalizer_spec.remove_extra_whitespaces = False
         proto.normalizer_spec.add_dummy_prefix = False
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.end_id = self.library.eos_id()
+        self.end_id, self.unk_id = self.library.eos_id(), self.library.unk_id()
         crossing = any(p.type == p.NORMAL and MARK in p.piece.lstrip(MARK) for p in proto.pieces)
-        self.words = regex.compile(".+" if crossing or proto.trainer_spec.model_type != 2 else
-                                   f"{MARK}+[^{MARK}]*|[^{MARK}]+", regex.S)
+        self.by_word = not crossing and proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        self.plain = self.by_word and self.normalise.plain and self.normalise.prefix
         byte = [p.type == p.BYTE for p in proto.pieces]
         self.normal_bytes = np.array([1 if b else len(p.piece.encode()) for p, b in zip(proto.pieces, byte)], np.int32)
         self.source_bytes = np.array([1 if b else len(p.piece.replace(MARK, " ").encode())
                                       for p, b in zip(proto.pieces, byte)], np.int32)
-        self.unk_id = self.library.unk_id()
         self.byte_fallback = proto.trainer_spec.byte_fallback
-        self.cache: dict[str, np.ndarray] = {}
         self.cached_words = cached_words
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids per normalised text."""
-        words = [self.words.findall(t) for t in texts]
-        cache = self.cache
-        if len(cache) > self.cached_words:
-            cache.clear()
-        fresh = list({w for ws in words for w in ws if w not in cache})
-        for w, ids in zip(fresh, self.library.encode(fresh, num_threads=1)):
-            cache[w] = np.array(ids, np.int32)
-        out = [np.concatenate([cache[w] for w in ws]) if ws else np.empty(0, np.int32) for ws in words]
-        for w in fresh:
-            if len(w) > LONG_WORD:
-                del cache[w]
-        return out
-
-    def encode(self, texts: list[str | None], offsets: bool) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-        """Ids with the end id, and the end of each piece in bytes of the original."""
-        texts = [t or "" for t in texts]
-        sources: list[list[int] | None] = []
-        normal = []
-        for t in texts:
-            if self.normalise.plain and MARK not in t:
-                normal.append((MARK if self.normalise.prefix and t else "") + t.replace(" ", MARK))
-                sources.append(None)
-            else:
-                n, source = self.normalise(t)
-                normal.append(n)
-                sources.append(source)
-        for text, ids, source in zip(normal, self.batch(normal), sources):
-            ends = None
-            if offsets:
-                if source is None:
-                    ends = np.cumsum(self.source_bytes[ids], dtype=np.int32) - (1 if self.normalise.prefix else 0)
-                    if not self.byte_fallback and (ids == self.unk_id).any():
-                        ends = self.aligned(text, ids, self.normalise(text.replace(MARK, " ")[1:])[1])
-                else:
-                    ends = self.aligned(text, ids, source)
-                ends = np.append(ends, ends[-1] if len(ends) else 0).astype(np.int32)
-            yield np.append(ids, self.end_id).astype(np.int32), ends
-
-    def aligned(self, text: str, ids: np.ndarray, source: list[int]) -> np.ndarray:
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: dict = {}
+        self.start, self.count, self.pieces = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+
+    def words(self, text: str) -> tuple[list, list[int] | None]:
+        """Words to look up and, where the offsets are not those of plain blanks, the source of each normalised byte.
+
+        A word that begins with a mark is named by what follows it, another one by a pair.
+        """
+        if self.plain and MARK not in text:
+            if not text:
+                return [], None
+            if "  " not in text and text[0] != " ":
+                return text.split(" "), None
+            normal, source = MARK + text.replace(" ", MARK), None
+        else:
+            normal, source = self.normalise(text)
+        parts = WORD.findall(normal) if self.by_word else [normal] if normal else []
+        return [w[1:] if w[0] == MARK else ("", w) for w in parts], source
+
+    def look_up(self, words: list) -> np.ndarray:
+        """Cache places of the words, after encoding those not met before."""
+        fresh = list(set(words).difference(self.cache))
+        if fresh and (len(self.cache) + len(fresh) > self.cached_words or len(self.pieces) > 16 * self.cached_words):
+            self.forget()
+            fresh = list(set(words))
+        if fresh:
+            found = self.library.encode([w[1] if isinstance(w, tuple) else MARK + w for w in fresh], num_threads=1)
+            self.cache.update(zip(fresh, range(len(self.cache), len(self.cache) + len(fresh))))
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            self.start = np.append(self.start, len(self.pieces) + np.cumsum(count) - count)
+            self.count = np.append(self.count, count)
+            self.pieces = np.append(self.pieces, np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())))
+        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, ids, ends) of some texts: ids with the end id, and where each piece ends in the original bytes."""
+        found = [self.words(t or "") for t in texts]
+        n_words = np.fromiter((len(w) for w, _ in found), np.int64, len(found))
+        at = self.look_up(list(chain.from_iterable(w for w, _ in found)))
+        count = self.count[at]
+        total = np.cumsum(count)
+        ids = self.pieces[np.repeat(self.start[at] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        upto = np.concatenate([[0], total])[np.cumsum(n_words)]
+        offsets = np.concatenate([[0], upto]) + np.arange(len(found) + 1)
+        place = np.arange(len(ids)) + np.repeat(np.arange(len(found)), np.diff(np.concatenate([[0], upto])))
+        out = np.full(len(ids) + len(found), self.end_id, np.int32)
+        out[place] = ids
+        length = np.zeros(len(out), np.int64)
+        length[place] = self.source_bytes[ids]
+        ends = np.cumsum(length)
+        ends = ends - np.repeat(np.concatenate([[0], ends])[offsets[:-1]], np.diff(offsets))
+        if self.normalise.prefix:
+            ends = np.maximum(ends - 1, 0)
+        for i, (words, source) in enumerate(found):
+            a, b = offsets[i], offsets[i + 1] - 1
+            if source is None and not self.byte_fallback and (out[a:b] == self.unk_id).any():
+                source = self.normalise(texts[i])[1]
+            if source is not None and words:
+                ends[a:b] = self.aligned(words, out[a:b], source)
+                ends[b] = ends[b - 1]
+        return offsets.astype(np.int32), out, ends.astype(np.int32)
+
+    def aligned(self, words: list, ids: np.ndarray, source: list[int]) -> np.ndarray:
         """Ends through the recorded offsets; a piece outside the vocabulary spans what the library says it spans."""
         if self.byte_fallback or not (ids == self.unk_id).any():
             at = np.cumsum(self.normal_bytes[ids])
         else:
-            at = np.cumsum([len(self.library.id_to_piece(int(i)).encode()) if i != self.unk_id else 0 for i in ids])
-            surfaces = [p.end for p in self.library.encode(text, out_type="immutable_proto").pieces]
-            at = np.array([len(text[:e].encode()) for e in surfaces]) if len(surfaces) == len(ids) else at
-        return np.array(source, np.int32)[at]
+            normal = "".join(w[1] if isinstance(w, tuple) else MARK + w for w in words)
+            at = [len(normal[:p.end].encode()) for p in self.library.encode(normal, out_type="immutable_proto").pieces]
+        return np.array(source, np.int64)[at]
+
+
+def worker_encoder(model: bytes) -> Encoder:
+    """One encoder per worker process and model, so that the next tasks find the words already met."""
+    kept = sys.modules.setdefault("_ledgerloom_worker", types.ModuleType("_ledgerloom_worker")).__dict__
+    name = f"pieces {hashlib.sha256(model).hexdigest()}"
+    if name not in kept:
+        kept[name] = Encoder(model)
+    return kept[name]
 
 
 def model_bytes(path: str) -> bytes:
@@ -208,26 +242,18 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def _ints(rows: list[np.ndarray]) -> pa.ListArray:
-    lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-    values = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
-                                    pa.array(values, pa.int32()))
-
-
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about CHUNK_BYTES in one column, so that results stay small."""
+def chunks(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose sizes add up to about CHUNK_BYTES, so that Python holds little at a time."""
     start, held = 0, 0
-    sizes = [len(x) if x else 0 for x in batch.column(column).to_pylist()]
-    for i, n in enumerate(sizes):
-        held += n
+    for i, n in enumerate(sizes.to_pylist()):
+        held += n or 0
         if held >= CHUNK_BYTES:
             yield batch.slice(start, i + 1 - start)
             start, held = i + 1, 0
-    if start < len(sizes):
+    if start < batch.num_rows:
         yield batch.slice(start)
 
 
@@ -243,12 +269,12 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", offsets: bool =
         T.StructField("ends", T.ArrayType(T.IntegerType()))] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = worker_encoder(model)
         for batch in batches:
-            for part in chunks(batch, at):
-                found = list(encoder.encode(part.column(at).to_pylist(), offsets))
-                arrays = [_ints([f[0] for f in found])] + [_ints([f[1] for f in found])] * offsets
-                yield pa.RecordBatch.from_arrays(part.columns + arrays, kept + [f.name for f in new])
+            for part in chunks(batch, pc.binary_length(batch.column(at))):
+                starts, *found = encoder.encode(part.column(at).to_pylist())
+                lists = [pa.ListArray.from_arrays(pa.array(starts), pa.array(x)) for x in found[:len(new)]]
+                yield pa.RecordBatch.from_arrays(part.columns + lists, kept + [f.name for f in new])
 
     return df.select(*kept).mapInArrow(run, T.StructType(df.select(*kept).schema.fields + new))
 
@@ -263,9 +289,9 @@ def decode(df: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
 
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
-            lists = [x or [] for x in batch.column(at).to_pylist()]
-            texts = [library.decode(x) if x else "" for x in lists]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(texts, pa.string())], kept + ["decoded"])
+            for part in chunks(batch, pc.multiply(pc.list_value_length(batch.column(at)), 4)):
+                texts = [library.decode(x) if x else "" for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays(part.columns + [pa.array(texts, pa.string())], kept + ["decoded"])
 
     return df.select(*kept).mapInArrow(run, T.StructType(
         df.select(*kept).schema.fields + [T.StructField("decoded", T.StringType())]))
