@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact_dedup, language, ngram_join, pieces, suffix_dedup, warc
+from ledgerloom.llm import exact_dedup, language, ngram_join, pieces, suffix_dedup, vector_graph, warc
 from ledgerloom.llm.common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -43,11 +43,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.model_bytes(f"{TOKENIZERS}/piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pieces.decode(pieces.encode(docs, model).drop("text"), model)
-    return done.select(
+    ids = pieces.encode(docs, model).select("doc_id", "ids", F.element_at("ends", -1).cast("long").alias("spanned_bytes"))
+    return pieces.decode(ids, model).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("spanned_bytes"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), "spanned_bytes")
 
 
 @query
@@ -113,3 +113,21 @@ WITH RECURSIVE
 SELECT r.a AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(r.b) AS component_id
 FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
+
+
+@query
+def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_vector_graph"] = """
+WITH RECURSIVE
+     v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+     l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+           AND list_cosine_similarity(x.e, y.e) >= 0.9),
+     r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+     c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+     n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.a = c.component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.a
+"""
