@@ -7,7 +7,8 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact_dedup, language, ngram_join, pieces, suffix_dedup, vector_graph, warc
+from ledgerloom.llm import (
+    exact_dedup, language, license_scan, ngram_join, packing, pieces, suffix_dedup, token_counts, vector_graph, warc)
 from ledgerloom.llm.common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -131,3 +132,59 @@ WITH RECURSIVE
 SELECT c.a AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.a = c.component_id AS kept
 FROM c LEFT JOIN n ON n.a = c.a
 """
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of each whole document, and how many of its lines are a known licence as a whole."""
+    docs, known = table(spark, sf_dir, "documents"), license_scan.known_licenses(spark)
+    lines = license_scan.scan_lines(docs, known).groupBy("doc_id").agg(
+        F.count("*").alias("license_lines"), F.min("license").alias("first_license"))
+    return license_scan.scan(docs, known).join(lines, "doc_id", "left").select(
+        "doc_id", "digest", "license", F.coalesce("license_lines", F.lit(0)).cast("long").alias("license_lines"),
+        "first_license")
+
+
+def canonical_sql(text: str) -> str:
+    line = license_scan.COPYRIGHT_LINE.removeprefix("(?m)")
+    words = (f"' ' || trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m){line}', '', 'g'), "
+             r"'[^\p{L}\p{N}]+', ' ', 'g')) || ' '")
+    for one, other in license_scan.EQUIVALENT:
+        words = f"replace({words}, ' {one.replace('-', ' ')} ', ' {other.replace('-', ' ')} ')"
+    return f"trim({words})"
+
+
+KNOWN_SQL = ", ".join(f"""('{name}', '{text.replace("'", "''")}')""" for name, text in license_scan.KNOWN)
+ORACLES["op3_license_scan"] = f"""
+WITH k AS (SELECT {canonical_sql('t')} AS form, min(l) AS license FROM (VALUES {KNOWN_SQL}) v(l, t) GROUP BY 1),
+     d AS (SELECT doc_id, {canonical_sql('text')} AS form FROM documents),
+     x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+     n AS (SELECT doc_id, count(*) AS n, min(license) AS first_license
+           FROM (SELECT doc_id, {canonical_sql('t')} AS form FROM x) JOIN k USING (form) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.form <> '' THEN sha256(d.form) END AS digest, k.license,
+       coalesce(n.n, 0) AS license_lines, n.first_license
+FROM d LEFT JOIN k USING (form) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after three edits of each: a replacement, a removal and an insertion."""
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = f.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    at = lambda part: F.floor(n * part / 5).cast("int")
+    edit = lambda start, end, new: F.struct(
+        start.alias("start"), end.alias("end"), F.lit(new).alias("text"))
+    edits = F.when(n < 40, F.array(edit(at(5), at(5), " appended"))).otherwise(F.array(
+        edit(at(1), at(1) + 7, "edited"), edit(at(3), at(3) + 5, ""), edit(at(4), at(4), ". New words 42!")))
+    counted = token_counts.count_tokens(docs, ranks).withColumnRenamed("n_tokens", "tokens_before")
+    done = token_counts.apply_edits(counted.withColumn("edits", edits), ranks)
+    return done.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), "encoded_chars",
+                       F.length("new_text").cast("long").alias("chars_after"))
