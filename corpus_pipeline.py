@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact_dedup, language
+from ledgerloom.llm import exact_dedup, language, ngram_join, packing, suffix_dedup
 from ledgerloom.llm.common import table
 from ledgerloom.sources.scratch import written
 
@@ -19,7 +19,23 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("language", known_language), ("exact_dedup", one_of_each_text)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word shingles (five words, similarity 0.8), the one with the smallest doc_id."""
+    return ngram_join.keep_one(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 200 bytes and more that occur again; n_chars follows the text."""
+    return suffix_dedup.cut_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of every document that is left."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", known_language), ("exact_dedup", one_of_each_text), ("ngram_join", one_of_each_group),
+          ("suffix_dedup", without_repeats), ("packing", packed)]
 
 #: Compression sizes, suffix arrays and the choice of bucket boundaries have no counterpart in SQL.
 ORACLE_SQL = None

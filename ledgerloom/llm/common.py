@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,6 +26,38 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A well-mixed 64-bit value of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bitmap of fixed size over hashed ids: keeps most other rows out of a shuffle, and never a wanted one."""
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique((mixed(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(bits)).astype(np.int64))
+            value = (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(value)], ["cell", "bits"])
+
+    cells = ids.mapInArrow(cells_of, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).collect()
+    out = np.zeros(bits // 64, np.int64)
+    for r in cells:
+        out[r["cell"]] = r["bits"]
+    return out.view(np.uint8)
+
+
+def passing(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
+    """Rows whose id, in the first column, passes the bitmap."""
+    at = (mixed(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(len(bitmap) * 8)).astype(np.int64)
+    return batch.filter(pa.array(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component_id): the smallest id reachable over the edges, for every id that has one.
 

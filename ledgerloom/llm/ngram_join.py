@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import ArrowMap, components, texts_of
+from ledgerloom.llm.common import ArrowMap, components, id_filter, mixed, passing, texts_of
 from ledgerloom.sources.scratch import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,7 +42,6 @@ HOT_FROM = 64
 BLOCK_ROWS = 2048
 SALT_ROWS = 1000
 SKETCH_WORDS = 8
-FILTER_BITS = 1 << 23
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -50,12 +49,6 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D
 
 # --- shingle sets --------------------------------------------------------------------------------
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sorted sets of 64-bit shingle hashes of many texts at once."""
 
@@ -302,15 +295,13 @@ def products(percent: int) -> ArrowMap:
     return run
 
 
-def wanted_sets(n: int, wanted: np.ndarray) -> ArrowMap:
-    """Sets of the documents that pass a fixed-size filter of the wanted ids."""
+def wanted_sets(n: int, wanted) -> ArrowMap:
+    """Sets of the documents that pass a broadcast bitmap of the wanted ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            at = (mixed(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(len(wanted) * 8)).astype(np.int64)
-            asked = batch.filter(pa.array(wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
-            for ids, sets in sets_of(asked, shingler):
+            for ids, sets in sets_of(passing(batch, wanted.value), shingler):
                 yield batch_of([(i, s.tobytes()) for i, s in zip(ids, sets)], ["doc_id", "grams"],
                                [pa.int64(), pa.binary()])
 
@@ -361,7 +352,7 @@ def hot_columns(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["gram"] for r in rows], np.int64), np.array([r["held"] for r in rows], np.int64)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their whole sets."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     members = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
@@ -369,36 +360,13 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, filter_bi
     roles = written(salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(False).alias("leads")).union(
         members.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                        F.lit(True).alias("leads"))), "roles")
-    ids = roles.select("doc_id").distinct()
-    # A bitmap of fixed size keeps most other texts out of the shuffle; it never keeps out a wanted one.
-    cells = ids.mapInArrow(filter_cells(filter_bits), "cell long, bits long").groupBy("cell").agg(
-        F.bit_or("bits").alias("bits")).collect()
-    wanted = np.zeros(filter_bits // 64, np.int64)
-    for r in cells:
-        wanted[r["cell"]] = r["bits"]
-    wanted = texts.sparkSession.sparkContext.broadcast(wanted.view(np.uint8))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return wanted_sets(n, wanted.value)(batches)
-
-    placed = roles.join(texts.mapInArrow(sets, "doc_id long, grams binary"), "doc_id").select(
-        "a", "salt", "doc_id", "leads", "grams")
+    wanted = texts.sparkSession.sparkContext.broadcast(id_filter(roles.select("doc_id")))
+    sets = texts.mapInArrow(wanted_sets(n, wanted), "doc_id long, grams binary")
+    placed = roles.join(sets, "doc_id").select("a", "salt", "doc_id", "leads", "grams")
     ordered = placed.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("leads"))
     return ordered.mapInArrow(compare(percent), "a long, b long, shared long")
 
 
-def filter_cells(filter_bits: int) -> ArrowMap:
-    """Bits of ids in the filter, folded per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique((mixed(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(filter_bits)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)
-                                                                           ).view(np.int64))], ["cell", "bits"])
-
-    return run
-
-
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest id reachable over links."""

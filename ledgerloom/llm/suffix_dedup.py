@@ -16,7 +16,7 @@ in an aggregation that combines before it shuffles, which gives the same starts.
 
 Edge cases: null counts as empty; texts shorter than ``length`` lose nothing; overlapping strings count, also within one
 document. Repeated rows of one id are taken as separate texts only if the ids differ; ids are taken to be unique and not
-null. In texts that stay, bytes that no longer form valid UTF-8 at the seams are replaced by U+FFFD. Extra columns stay.
+null. Where whole documents are returned, characters that are cut in two go altogether, and other columns stay.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import ArrowMap, texts_of
+from ledgerloom.llm.common import ArrowMap, id_filter, passing, texts_of
 from ledgerloom.sources.scratch import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -418,17 +418,23 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
     long_enough = texts.where(F.octet_length("text") >= length)
     anchors = written(long_enough.mapInArrow(find_anchors(length), "doc_id long, lo int, n int, h long, c long"),
                       "anchors")
-    again = anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    again = written(anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "again")
     met = written(anchors.join(again, "h"), "met")
     folded = written(met.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "lo", "n")).alias("r")),
                      "folded")
     groups = folded.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    sort_these = folded.join(groups, "h").select(
-        "r.doc_id", "contexts", F.struct("h", "c", "r.lo", "r.n").alias("w"))
+    sort_these = written(folded.join(groups, "h").select(
+        "r.doc_id", "contexts", F.struct("h", "c", "r.lo", "r.n").alias("w")), "to_sort")
 
     def bytes_of(wanted: DataFrame) -> DataFrame:
         per_doc = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-        return long_enough.join(per_doc, "doc_id").select("text", "wanted").mapInArrow(cut_contexts(length), CONTEXT_DDL)
+        bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc_id")))
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (passing(batch, bitmap.value) for batch in batches)
+
+        return long_enough.mapInArrow(asked, "doc_id long, text string").join(per_doc, "doc_id").select(
+            "text", "wanted").mapInArrow(cut_contexts(length), CONTEXT_DDL)
 
     n_hot = groups.where(F.col("contexts") > hot_contexts).limit(1).count()
     cool = bytes_of(sort_these.where(F.col("contexts") <= hot_contexts) if n_hot else sort_these)
@@ -451,43 +457,72 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
 SPLIT_DDL = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
 
 
+def removed(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Byte spans that the runs of repeated starts cover, merged where they touch."""
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted((r["start"], r["start"] + r["number"] + length - 1) for r in found or ()):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = spans[-1][0], max(spans[-1][1], b)
+        else:
+            spans.append((a, b))
+    return spans
+
+
+def remaining(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for span in spans for x in span), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    start, held = 0, 0
+    for i, text in enumerate(batch.column(column)):
+        held += text.as_buffer().size if text.is_valid else 0
+        if held >= MAP_BYTES:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def split_texts(length: int) -> ArrowMap:
-    """Merge the runs of a text into removed spans and put what remains together."""
+    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, held = [], 0
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = text.as_buffer().to_pybytes()
-                spans: list[list[int]] = []
-                for r in sorted((r["start"], r["start"] + r["number"] + length - 1) for r in found.as_py() or ()):
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r[1])
-                    else:
-                        spans.append(list(r))
-                at, kept = 0, []
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                out.append((doc_id, len(raw), [{"start": a, "end": b} for a, b in spans], b"".join(kept) + raw[at:]))
-                held += len(raw)
-                if held >= MAP_BYTES:
-                    yield batch_of(out)
-                    out, held = [], 0
-            if out:
-                yield batch_of(out)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)],
-                                          ["doc_id", "n_bytes", "spans", "kept"])
+        for part in (p for batch in batches for p in parts(batch, 1)):
+            rows = []
+            for doc_id, text, found in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
+                raw, spans = text.as_buffer().to_pybytes(), removed(found, length)
+                rows.append((doc_id, len(raw), [{"start": a, "end": b} for a, b in spans], remaining(raw, spans)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)],
+                                             ["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
 
+def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, **how) -> DataFrame:
+    """The documents with the runs of repeated starts as another column, null without any."""
+    per_doc = repeated_runs(docs, length, id_col=id_col, text_col=text_col, **how).groupBy(
+        F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "number")).alias("_found"))
+    return docs.join(per_doc, docs[id_col] == per_doc["_id"], "left").drop("_id")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    **how) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (removed byte ranges, in order) and kept (the bytes that remain)."""
-    found = repeated_runs(docs, length, id_col=id_col, text_col=text_col, **how)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "number")).alias("found"))
-    return texts_of(docs, id_col, text_col).join(per_doc, "doc_id", "left").mapInArrow(split_texts(length), SPLIT_DDL)
+    own = texts_of(docs, id_col, text_col)
+    return with_runs(own, length, "doc_id", "text", **how).mapInArrow(split_texts(length), SPLIT_DDL)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents with what remains of their texts, and all their other columns; characters cut in two go whole."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts(batch, at)):
+            texts = [remaining(t.as_buffer().to_pybytes(), removed(f, length)).decode("utf-8", "ignore") if f else t.as_py()
+                     for t, f in zip(part.column(at), part.column(part.num_columns - 1).to_pylist())]
+            columns = list(part.columns[:-1])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    return with_runs(docs, length, id_col, text_col, **how).mapInArrow(run, docs.schema)
