@@ -6,7 +6,8 @@ the incidence matrix. N-grams that many documents hold come last in the order; t
 
 1. Documents with equal sets become one row of the matrix (a group-by over digests of the sets).
 2. The columns are dealt out over tasks; hot ones in blocks of rows. Columns with one row contribute nothing and go.
-3. Each row is compared with the smallest row of its column, exactly; the links found give first groups.
+3. Each row is compared with the smallest row of its column, exactly, unless sizes or sketches (see 4) rule the pair out;
+   the links found give first groups.
 4. Of pairs in one column, only those between different groups are left to decide. Their products are taken block by
    block, overlap counts are summed over all columns, and pairs go whose size, parity sketch or count bounds the overlap
    below the threshold: |A xor B| is at least the number of differing sketch bits, and what two sets share beyond their
@@ -124,10 +125,10 @@ def keys_of(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketch(grams: np.ndarray) -> bytes:
+def sketch(grams: np.ndarray) -> np.ndarray:
     """Parity of the number of elements that fall on each of SKETCH_WORDS * 64 bits."""
     bits = np.bincount((grams & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def batch_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -181,7 +182,7 @@ def incidence(n: int, percent: int, hot: np.ndarray) -> ArrowMap:
                 rows = [(i, len(s), keys_of(s, hot)[:first_elements(len(s), percent)], sketch(s))
                         for i, s in zip(ids, sets) if len(s)]
                 yield batch_of(rows, ["doc_id", "n", "keys", "sketch"],
-                               [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()])
+                               [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())])
 
     return run
 
@@ -255,7 +256,7 @@ def products(percent: int) -> ArrowMap:
         for t in whole_groups(batches, ["g", "bi", "bj"], 50_000):
             rep, n, label, last, block = (t[c].to_numpy() for c in ("rep", "n", "label", "last", "block"))
             cross = t["bi"].to_numpy() != t["bj"].to_numpy()
-            bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            bits = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
             first = group_starts(t["g"].to_numpy(), t["bi"].to_numpy(), t["bj"].to_numpy())
             end = np.repeat(np.append(first[1:], len(rep)), np.diff(np.append(first, len(rep))))
             n = n.astype(np.int64)
@@ -362,11 +363,20 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                        F.lit(True).alias("leads"))), "roles")
     wanted = texts.sparkSession.sparkContext.broadcast(id_filter(roles.select("doc_id")))
     sets = texts.mapInArrow(wanted_sets(n, wanted), "doc_id long, grams binary")
-    placed = roles.join(sets, "doc_id").select("a", "salt", "doc_id", "leads", "grams")
+    placed = roles.hint("merge").join(sets, "doc_id").select("a", "salt", "doc_id", "leads", "grams")
     ordered = placed.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("leads"))
     return ordered.mapInArrow(compare(percent), "a long, b long, shared long")
 
 
+def sketch_allows(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) whose sketches do not already show that they differ too much."""
+    a, b = (rows.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("na").cast("long") + F.col("nb")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(
+        (both - differ) * (100 + percent) >= both * (2 * percent)).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest id reachable over links."""
@@ -379,8 +389,9 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     hot, held = hot_columns(profiles)
     blocks = -(-held // block_rows)
 
-    rows = texts.mapInArrow(incidence(n, percent, hot), "doc_id long, n int, keys array<long>, sketch binary")
-    rows = written(rows.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "rows")
+    rows = texts.mapInArrow(incidence(n, percent, hot), "doc_id long, n int, keys array<long>, sketch array<long>")
+    # Joins that grow with the input are sorted merges at every size, so that a small run shows what a large one does.
+    rows = written(rows.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "rows")
     entries = rows.select("doc_id", "n", "keys").mapInArrow(
         deal_columns(hot, blocks), "g long, blocks int, block int, rep long, n int")
     met = entries.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(
@@ -393,16 +404,19 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         F.col("low.lead").alias("a"), F.col("l.lead").alias("b"), F.col("low.lead_n").alias("na"),
         F.col("l.lead_n").alias("nb"))
     size_allows = f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    links = written(verified(star.union(over_blocks).where(size_allows), texts, n, percent).select("a", "b"), "links")
+    near = sketch_allows(written(star.union(over_blocks).where(size_allows).distinct(), "star"), rows, percent)
+    links = written(verified(near, texts, n, percent).select("a", "b"), "links")
     groups = written(components(links), "groups")
 
     info = rows.select(F.col("doc_id").alias("rep"), F.element_at("keys", -1).alias("last"), "sketch").join(
         groups.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn(
         "label", F.coalesce("component_id", "rep")).drop("component_id")
-    labelled = met.select("g", "blocks", "block", "rep", "n").join(info.select("rep", "label"), "rep")
+    info = written(info, "info")
+    labelled = met.select("g", "rep").join(info.select("rep", "label").hint("merge"), "rep")
     mixed_columns = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(
         "x <> y").select("g")
-    open_ = met.select("g", "blocks", "block", "rep", "n").join(mixed_columns, "g", "left_semi").join(info, "rep")
+    open_ = met.select("g", "blocks", "block", "rep", "n").join(mixed_columns.hint("merge"), "g", "left_semi").join(
+        info.hint("merge"), "rep")
     paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n",
         "label", "last", "sketch")
@@ -413,7 +427,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     more = verified(pairs, texts, n, percent).select("a", "b")
     of_rep = components(links.union(more))
 
-    placed = of_docs.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    placed = of_docs.join(classes.hint("merge"), ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return placed.join(of_rep.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
