@@ -276,14 +276,20 @@ ORACLES: dict[str, str] = {
  cast(unit_no as double) as unit_no, currency, cast(unit_price as double) as unit_price, cast(excl as double) as excl,
  cast(gst as double) as gst, cast(incl as double) as incl, source, note from lines where outcome='matched'"""),
     "display_text": build(LINES, """select source, coalesce(currency,'') as currency, coalesce(cast(due_date as varchar),'') as due_date, count(*) as n,
- max(coalesce(cast(incl as varchar),'')) as max_incl, min(coalesce(description,'')) as first_description from lines group by 1,2,3"""),
+ max(coalesce(regexp_replace(cast(incl as varchar),'\\.?0+$',''),'')) as max_incl, min(coalesce(description,'')) as first_description from lines group by 1,2,3"""),
     "pending_rows": build(VERDICTS + CLEAN[1:], """select invoice_number, po_number, supplier, description, cast(unit_no as double) as unit_no,
  cast(incl as double) as incl, status, row_no from clean where invoice_key is null and po_key is null
  union all select invoice_number, po_number, supplier, description, cast(unit_no as double), cast(incl as double), status, row_no
  from unused where outcome='still_pending'"""),
-    "warnings_report": build(CASCADE, """select p.doc_id, coalesce(invoice_no, source_file) as document,
- 'Invoice number not extracted — can''t take part in matching' as warnings from prepared p join inv i on p.doc_id=i.doc_id
- where invoice_no is null and not is_duplicate and not is_superseded"""),
+    "warnings_report": build(CASCADE, """select doc_id, coalesce(new_no, invoice_no, source_file) as document,
+ concat_ws('; ', unread, changed) as warnings from (
+  select i.doc_id, i.invoice_no, i.source_file, l.invoice_number as new_no,
+   case when i.invoice_no is null then 'No invoice number was read, so the document cannot be matched by it' end as unread,
+   case when l.invoice_number is distinct from i.invoice_no and l.invoice_number is not null then
+    'The ledger''s number ' || l.invoice_number || ' is used in place of ' || coalesce(i.invoice_no, '')
+    || ', which only differs by letters that look alike' end as changed
+  from tagged t join inv i on t.doc_id=i.doc_id left join ledger l on t.lvl='folded' and l.row_no=t.fix_row)
+ where unread is not null or changed is not null"""),
     "override_apply": build(LINES, f"""select outcome||case when doc_id is not null then ':doc:' else ':row:' end||coalesce(doc_id,line_no) as group_id, line_no,
  case when moved then 'matched' else outcome end as outcome, case when moved then outcome end as from_outcome,
  cast(invoice_date as varchar) as invoice_date, case when moved then null else cast(due_date as varchar) end as due_date,

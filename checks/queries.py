@@ -264,7 +264,8 @@ def pending_rows(s, d):
 
 @query
 def warnings_report(s, d):
-    return review.warnings_report(cascade(s, d).prepared, derived(s, d, "invoice"))
+    c = cascade(s, d)
+    return review.warnings_report(c.prepared, derived(s, d, "invoice"), review.corrections(c.tagged, c.ledger))
 
 
 @query

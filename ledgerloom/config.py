@@ -23,8 +23,6 @@ class Config:
     scan_chars_per_page: int = 40
     ocr_min_confidence: int = 30
     ocr_char_width: int = 9
-    ocr_max_pages: int = 4
-    supplier_scan_lines: int = 60
     expected_statuses: tuple[str, ...] = (
         "Order Complete", "Delivered", "Partial Delivered", "Pending Payment")
 

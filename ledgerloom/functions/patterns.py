@@ -139,19 +139,20 @@ GST_HEADS = ("gst rate", "gst amount", "add gst", "tax")
 INCL_HEADS = ("including gst", "total amount", "amount incl")
 TOTAL_ROW = r"subtotal|^total\b|grand total"
 
-# Warnings, in the words the reports show.
-WARN_OCR = "Scanned document, content read via OCR — figures may be inaccurate, please review manually"
-WARN_OCR_EMPTY = "Scanned document, OCR could not recognize any text"
-WARN_NO_OCR = "PDF has no readable text (scanned) and OCR is not installed on this machine"
-WARN_NO_READER = "Scanned document and the vision model is unavailable"
-WARN_NAME_NUMBER = "Invoice number taken from the filename"
-WARN_NAME_DATE = "Invoice date taken from the filename — filename dates often have typos, please confirm manually"
-WARN_PROFORMA = "This is a Proforma invoice, not a basis for payment"
-WARN_NO_TABLE = "No line-item table found"
-WARN_TOTAL_ONLY = "No line items extracted — reconciled using the invoice total instead"
-WARN_TOTAL_BELOW = 'Invoice total taken from a "value directly below the TOTAL label" layout, please confirm manually'
-WARN_UNPRICED = "Line items had no extractable amount — reconciled using the invoice total instead"
-WARN_READER_INVALID = "Vision model call failed: Model did not return valid JSON"
-WARN_READER_FIELDS = "The following fields were read by the vision model, please review manually: "
-WARN_NO_NUMBER = "Invoice number not extracted — can't take part in matching"
-WARN_NO_SUPPLIER = "Supplier not extracted"
+# Warnings of a reading, as the reports show them. Nothing is computed from their wording.
+WARN_OCR = "Scan: the text comes from character recognition, so amounts may be wrong"
+WARN_OCR_EMPTY = "Scan: character recognition found no text"
+WARN_NO_OCR = "Scan: no recognised text was given for this document"
+WARN_NO_READER = "Scan: no second reading was given for this document"
+WARN_NAME_NUMBER = "The invoice number is the one in the file name"
+WARN_NAME_DATE = "The invoice date is the one in the file name, which is often mistyped"
+WARN_PROFORMA = "Proforma invoice: nothing to pay yet"
+WARN_NO_TABLE = "The document has no table of items"
+WARN_TOTAL_ONLY = "No items were read; only the invoice total is compared"
+WARN_TOTAL_BELOW = "The invoice total was read from the line below its label"
+WARN_UNPRICED = "No item has an amount; only the invoice total is compared"
+WARN_READER_INVALID = "The second reader's answer is not valid JSON"
+WARN_READER_FIELDS = "Read by the second reader: "
+WARN_TOO_LARGE = "An amount of the second reader is out of range and was left out"
+WARN_NO_NUMBER = "No invoice number was read, so the document cannot be matched by it"
+WARN_NO_SUPPLIER = "No supplier was read"

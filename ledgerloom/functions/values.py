@@ -33,8 +33,8 @@ def parse_date(c: Column) -> Column:
         shaped(plain, r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy", "M-d-yyyy"),
         shaped(s, r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
         shaped(named, r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-        shaped(F.substring_index(plain, " ", 1),
-               r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+        F.when(plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+               F.try_to_date(F.substring_index(plain, " ", 1), "yyyy-M-d")),
     )
 
 

@@ -14,7 +14,7 @@ def number_groups(ledger: DataFrame) -> DataFrame:
     """One row per ledger number: its amount, and supplier and date of its first row."""
     keyed = ledger.where("invoice_key is not null")
     sums = keyed.groupBy("invoice_key").agg(
-        F.coalesce(F.sum("incl"), F.lit(0)).cast("decimal(18,2)").alias("amount"), F.min("row_no").alias("row_no"))
+        F.coalesce(F.sum("incl"), F.lit(0)).try_cast("decimal(18,2)").alias("amount"), F.min("row_no").alias("row_no"))
     first = keyed.select("row_no", "supplier_key", F.col("invoice_date").alias("ledger_date"),
                          "invoice_number", F.col("supplier").alias("ledger_supplier"))
     return sums.join(first, "row_no").where("supplier_key is not null").drop("row_no")
@@ -71,7 +71,7 @@ def rank_candidates(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFram
     k, reach = cfg.candidate_limit, cfg.date_weight - 1
     width = 2 * cfg.amount_weight
     named = docs.select("doc_id", supplier_key(F.col("supplier")).alias("name"),
-                        F.col("invoice_date").alias("date"), F.col("total").cast("decimal(18,2)").alias("total")
+                        F.col("invoice_date").alias("date"), F.col("total").try_cast("decimal(18,2)").alias("total")
                         ).where("name is not null")
     groups = number_groups(ledger)
     suppliers = ledger.where("invoice_key is not null").select(F.col("supplier_key").alias("name"))
@@ -105,7 +105,7 @@ def rank_candidates(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFram
     scored = (found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
               .select("query", F.col("query.name").alias("name"), "invoice_key")
               .join(points, "invoice_key").join(pairs, ["name", "supplier_key"])
-              .withColumns({"amount_diff": (F.col("amount") - F.col("query.total")).cast("decimal(18,2)"),
+              .withColumns({"amount_diff": (F.col("amount") - F.col("query.total")).try_cast("decimal(18,2)"),
                             "date_gap": F.abs(F.datediff("query.date", "ledger_date"))})
               .withColumn("score", _score(cfg)))
     best = scored.withColumn("rank", F.row_number().over(

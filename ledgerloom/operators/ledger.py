@@ -53,9 +53,9 @@ def clean_ledger(raw: DataFrame, aliases: DataFrame) -> DataFrame:
         due_date_from_notes(F.col("notes"), F.col("invoice_date")).alias("due_date"),
         F.col("item_description").alias("description"), F.col("units").alias("unit_no"),
         F.lit(None).cast("string").alias("currency"), F.col("unit_cost").alias("unit_price"),
-        F.round(excl, 2).cast(MONEY).alias("excl"),
-        F.round(F.col("total_cost") - excl, 2).cast(MONEY).alias("gst"),
-        F.round("total_cost", 2).cast(MONEY).alias("incl"),
+        F.round(excl, 2).try_cast(MONEY).alias("excl"),
+        F.round(F.col("total_cost") - excl, 2).try_cast(MONEY).alias("gst"),
+        F.round("total_cost", 2).try_cast(MONEY).alias("incl"),
         document_key(F.col("invoice_number")).alias("invoice_key"),
         document_key(F.col("po_number")).alias("po_key"),
         supplier_key(F.col("supplier")).alias("supplier_key"),

@@ -29,13 +29,13 @@ def narrow_invoices(invoices: DataFrame) -> DataFrame:
 def resolve_duplicates(docs: DataFrame) -> DataFrame:
     """Mark all but the last document of each number, and the place the number first appeared.
 
-    The last one is found by a partial aggregate and joined back by its unique file order, so a number
-    shared by very many copies is never gathered in one task.
+    The last one is found by a partial aggregate and joined back by its document, so a number shared by
+    very many copies is never gathered in one task. ``file_order`` may be any type that can be ordered.
     """
     last = (docs.where("invoice_key is not null").groupBy("invoice_key")
-            .agg(F.max("file_order").alias("file_order"), F.min("file_order").alias("first_order"))
-            .drop("invoice_key"))
-    return docs.join(last, "file_order", "left").withColumns({
+            .agg(F.max(F.struct("file_order", "doc_id")).alias("last"), F.min("file_order").alias("first_order"))
+            .select("last.doc_id", "first_order"))
+    return docs.join(last, "doc_id", "left").withColumns({
         "is_duplicate": F.col("invoice_key").isNotNull() & F.col("first_order").isNull(),
         "pool_order": F.struct(F.col("invoice_key").isNull().alias("keyless"),
                                F.coalesce("first_order", "file_order").alias("place"))}).drop("first_order")

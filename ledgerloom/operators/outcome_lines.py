@@ -156,6 +156,17 @@ def ledger_only_lines(unused: DataFrame) -> DataFrame:
         F.col("row_no").alias("line_no"), F.lit(None).cast("string").alias("source_file"))
 
 
+def pending_lines(pending: DataFrame, unused: DataFrame) -> DataFrame:
+    """The rows of the pending report as outcome rows, so that a person can move them to matched."""
+    template = [c for c in OUT_COLS if c not in ("source", "note")]
+    rows = pending.select(*template, "row_no").unionByName(
+        unused.where("outcome = 'still_pending'").select(*template, "row_no"))
+    return rows.select(
+        *template, F.lit("Excel").alias("source"), F.lit(None).cast("string").alias("note"), F.lit("pending").alias("outcome"),
+        F.lit(None).cast("string").alias("match_level"), F.lit(None).cast("bigint").alias("doc_id"),
+        F.col("row_no").alias("line_no"), F.lit(None).cast("string").alias("source_file"))
+
+
 def superseded_report(prepared: DataFrame, invoices: DataFrame) -> DataFrame:
     return prepared.where("is_superseded").select("doc_id").join(invoices, "doc_id").select(
         "doc_id", "invoice_no", "po_no", "supplier", F.col("subtotal.amount_incl").alias("total"),

@@ -66,12 +66,28 @@ def indicators(prepared: DataFrame, lines: DataFrame) -> DataFrame:
     return figures.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])
 
 
-def warnings_report(prepared: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Live documents whose reading left warnings."""
+CORRECTED = "The ledger's number {} is used in place of {}, which only differs by letters that look alike"
+
+
+def corrections(tagged: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(doc_id, new_no): the ledger's printed number of documents matched up to look-alike letters."""
+    folded = tagged.where("number_level = 'folded'").select("doc_id", F.col("first_corrected_row").alias("row_no"))
+    return folded.join(ledger.select("row_no", F.col("invoice_number").alias("new_no")), "row_no").select("doc_id", "new_no")
+
+
+def warnings_report(prepared: DataFrame, invoices: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Live documents whose reading left warnings or whose number was corrected from the ledger."""
     live = prepared.where("not is_duplicate and not is_superseded").select("doc_id")
-    return (invoices.where("size(warnings) > 0").join(live, "doc_id", "left_semi")
-            .select("doc_id", F.coalesce("invoice_no", "source_file").alias("document"),
-                    F.array_join("warnings", "; ").alias("warnings")))
+    said = invoices.select("doc_id", "invoice_no", "source_file", "warnings").join(live, "doc_id", "left_semi").join(
+        corrected, "doc_id", "left")
+    changed = F.col("new_no").isNotNull() & ~F.col("new_no").eqNullSafe(F.col("invoice_no"))
+    template, rest = CORRECTED.split("{}", 1)
+    middle, end = rest.split("{}")
+    note = F.when(changed, F.concat(F.lit(template), "new_no", F.lit(middle), F.coalesce("invoice_no", F.lit("")), F.lit(end)))
+    notes = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.filter(F.array(note), lambda n: n.isNotNull()))
+    return said.select("doc_id", F.coalesce("new_no", "invoice_no", "source_file").alias("document"),
+                       notes.alias("notes")).where("size(notes) > 0").select(
+        "doc_id", "document", F.array_join("notes", "; ").alias("warnings"))
 
 
 def payables(lines: DataFrame) -> DataFrame:
@@ -85,8 +101,12 @@ def payables(lines: DataFrame) -> DataFrame:
 
 
 def displayed(lines: DataFrame) -> DataFrame:
-    """All outcome columns as text, missing values blank."""
-    return lines.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in OUT_COLS])
+    """All outcome columns as text, missing values blank, amounts without zeros at the end."""
+    def text(c: str) -> Column:
+        shown = F.col(c).cast("string")
+        return F.regexp_replace(shown, r"\.?0+$", "") if c in MONEY_COLS else shown
+
+    return lines.select(*[F.coalesce(text(c), F.lit("")).alias(c) for c in OUT_COLS])
 
 
 def group_id(outcome: Column, doc_id: Column, line_no: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.functions import patterns as P
 from ledgerloom.sources.scratch import written
 
 LEDGER0 = """
@@ -150,7 +151,7 @@ def _invoice(spark, sf_dir):
         F.struct(F.col("excl").alias("amount_excl"), gst.alias("gst"),
                  F.col("incl").alias("amount_incl")).alias("subtotal"),
         F.filter(F.array(item), lambda _: F.col("ok") % 2 == 0).alias("line_items"),
-        F.when(F.col("invoice_no").isNull(), F.array(F.lit("Invoice number not extracted — can't take part in matching")))
+        F.when(F.col("invoice_no").isNull(), F.array(F.lit(P.WARN_NO_NUMBER)))
         .otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 

@@ -58,7 +58,7 @@ def test_lines_and_payables(spark):
     k = review.indicators(r["prepared"], r["outcome"]).first()
     assert tuple(k) == (3, 1, 1, 3, 1)
     shown = review.displayed(r["outcome"]).where("source = 'Excel'").first()
-    assert shown.due_date == "" and shown.incl == "7.00"
+    assert shown.due_date == "" and shown.incl == "7"
 
 
 def test_overrides_and_sinks(spark, tmp_path):
