@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 HEADLINES = (
     "ledger_clean", "exact_match_verdict", "document_verdicts", "outcome_counts", "merged_lines", "ledger_only",
     "supplier_baseline", "similar_suppliers", "quality_flags", "candidate_topk", "contiguous_groups", "kpi",
-    "payables_export", "invoice_extract", "totals_extract", "layout_rebuild", "json_second_reader")
+    "payables_export", "invoice_extract", "totals_extract", "layout_rebuild", "json_second_reader", "po_nearest_pair")
 
 
 def main() -> None:
@@ -25,6 +25,7 @@ def main() -> None:
 
     from checks.queries import QUERIES
     from ledgerloom.sources.derived import derived
+    from ledgerloom.sources.scratch import release
 
     for table in ("ledger", "ledger_raw", "vendor", "invoice", "page", "ocr_page", "word", "second_reader"):
         derived(spark, sf_dir, table)
@@ -36,6 +37,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    release(spark)
     spark.stop()
 
 

@@ -295,9 +295,14 @@ ORACLES: dict[str, str] = {
  cast(invoice_date as varchar) as invoice_date, case when moved then null else cast(due_date as varchar) end as due_date,
  case when moved then null else cast(unit_no as double) end as unit_no, cast(excl as double) as excl,
  case when moved then null else cast(gst as double) end as gst, cast(incl as double) as incl,
- case when moved then {_q(R.MOVED['discrepancy'][0])} || note || {_q(R.MOVED['discrepancy'][1])} else note end as note,
+ case when not moved then note when outcome='pending' then {_q(R.MOVED_PENDING)}
+  {" ".join(f"when outcome='{o}' then {_q(x)} || coalesce(note, '') || {_q(y)}" for o, (x, y) in R.MOVED.items())} end as note,
  case when moved then 'unit_no' end as rejected
-from (select *, outcome='discrepancy' and coalesce(match_level,'')='number' as moved from lines)"""),
+from (select *, outcome='discrepancy' and coalesce(match_level,'')='number' or outcome='invoice_only'
+  or outcome in ('ledger_only','pending') and coalesce(incl >= 40000, false) as moved
+ from (select * from lines union all select invoice_number, po_number, supplier, invoice_date, due_date, description, unit_no,
+  currency, unit_price, excl, gst, incl, 'Excel', cast(null as varchar), 'pending', cast(null as varchar),
+  cast(null as bigint), row_no, cast(null as varchar) from unused where outcome='still_pending'))"""),
     "supplier_baseline": build(BASE, """select supplier_key, first_row, n_values, median, n_shapes, first_shapes from
  (select supplier_key, min(row_no) as first_row, count(incl) as n_values, round(median(cast(incl as double)),3) as median from ledger group by 1)
  join (select supplier_key, count(*) as n_shapes, array_to_string(list(shape order by shape)[1:3],' | ') as first_shapes from

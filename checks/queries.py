@@ -14,7 +14,7 @@ from ledgerloom.operators import (
     second_reader, similar, totals)
 from ledgerloom.plans import extraction
 from ledgerloom.plans.cascade import Cascade
-from ledgerloom.plans.reconcile import all_lines
+from ledgerloom.plans.reconcile import all_lines, with_pending
 from ledgerloom.sources.derived import base_table, derived
 from ledgerloom.sources.scratch import cut, written
 from ledgerloom.sources.tables import file_kind
@@ -282,9 +282,13 @@ def highlight_counts(s, d):
 
 @query
 def override_apply(s, d):
-    """Edits all groups a number matched but the amount did not, as a person would type them."""
-    _, lines = lines_of_run(s, d)
-    edits = review.with_group_id(lines).where("outcome = 'discrepancy' and match_level = 'number'").select(
+    """Edits groups of all four origins, as a person would type them: numbers matched with another amount, invoices
+    without a match, and large ledger rows without an invoice, due or not."""
+    c, lines = lines_of_run(s, d)
+    lines = written(with_pending(lines, derived(s, d, "ledger"), c), "correctable")
+    edits = review.with_group_id(lines).where(
+        "outcome = 'discrepancy' and match_level = 'number' or outcome = 'invoice_only' "
+        "or outcome in ('ledger_only', 'pending') and incl >= 40000").select(
         "group_id", "line_no", "invoice_number", "po_number", "supplier",
         F.date_format("invoice_date", "dd/MM/yyyy").alias("invoice_date"), F.lit("soon").alias("due_date"),
         "description", F.lit("a dozen").alias("unit_no"), "currency", F.col("unit_price").cast("string").alias("unit_price"),

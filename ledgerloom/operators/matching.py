@@ -51,8 +51,9 @@ def mark_superseded(docs: DataFrame) -> DataFrame:
         "is_superseded", F.col("taxed_po").isNotNull()).drop("probe", "taxed_po")
 
 
-def prepare(invoices: DataFrame) -> DataFrame:
-    return mark_superseded(resolve_duplicates(narrow_invoices(invoices)))
+def prepare(docs: DataFrame) -> DataFrame:
+    """Narrow invoices with their marks."""
+    return mark_superseded(resolve_duplicates(docs))
 
 
 def ledger_groups(ledger: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from ledgerloom.config import Config
 from ledgerloom.operators import matching
 from ledgerloom.operators.ledger import reconcilable
-from ledgerloom.sources.scratch import cut
+from ledgerloom.sources.scratch import cut, written
 
 
 class Cascade:
     """The stages of a run, laid out when first asked for.
 
-    Three narrow tables are stored because several later stages read each of them: the documents tagged
+    Narrow tables are stored because several later stages read each of them: the documents tagged
     with their number match, the decision per order, and the verdict per document. None holds texts or
     line items, so together they are a small fraction of the invoices.
     """
@@ -25,8 +25,11 @@ class Cascade:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        """Every document, with its duplicate and superseded marks."""
-        return matching.prepare(self.invoices)
+        """Every document, with its duplicate and superseded marks.
+
+        The narrow columns are stored first: an extraction is a long chain, and marking reads it many times.
+        """
+        return matching.prepare(written(matching.narrow_invoices(self.invoices), "narrow"))
 
     @cached_property
     def groups(self) -> DataFrame:

@@ -31,8 +31,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Store a frame as a parquet table and read it back with column pruning and pushdown."""
-    path = f"{shared_folder(df.sparkSession)}/ledgerloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(df.sparkSession)}/ledgerloom/{uuid.uuid4().hex}"
+    _STORED.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this process has stored; frames that read them are of no use afterwards."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -89,3 +89,16 @@ def test_run_from_raw_tables(spark, tmp_path):
     assert r["documents"].first().outcome == "matched"
     kinds = spark.createDataFrame([("A.XLSX",), ("b.Pdf",), ("c.txt",)], "p string").select(tables.file_kind(F.col("p"))).collect()
     assert [k[0] for k in kinds] == ["ledger", "invoice", None]
+
+
+def test_stored_tables_go_when_released(spark, tmp_path):
+    import os
+    from ledgerloom.sources import scratch
+    kept = list(scratch._STORED)
+    scratch._STORED.clear()
+    stored = scratch.written(spark.range(3).toDF("n"), "n")
+    folder = scratch._STORED[0]
+    assert stored.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+    scratch.release(spark)
+    assert not os.path.exists(folder.removeprefix("file:")) and not scratch._STORED
+    scratch._STORED.extend(kept)
