@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import exact_dedup, language, ngram_join, packing, suffix_dedup
 from ledgerloom.llm.common import table
-from ledgerloom.sources.scratch import written
+from ledgerloom.sources.scratch import release, stored, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +38,26 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+_left: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, after deleting what earlier stages stored for themselves and ``docs`` does not read."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _left else []
+        release(spark, [f for f in _left if f in stored() and not any(f.rsplit("/", 1)[1] in x for x in files)])
+        before = set(stored())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [f for f in stored() if f not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [("language", known_language), ("exact_dedup", one_of_each_text), ("ngram_join", one_of_each_group),
           ("suffix_dedup", without_repeats), ("packing", packed)]
+STAGES = [(name, tidy(stage)) for name, stage in STAGES]
 
 #: Compression sizes, suffix arrays and the choice of bucket boundaries have no counterpart in SQL.
 ORACLE_SQL = None

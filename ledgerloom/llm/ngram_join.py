@@ -9,10 +9,11 @@ the incidence matrix. N-grams that many documents hold come last in the order; t
 3. Each row is compared with the smallest row of its column, exactly, unless sizes or sketches (see 4) rule the pair out;
    the links found give first groups.
 4. Of pairs in one column, only those between different groups are left to decide. Their products are taken block by
-   block, overlap counts are summed over all columns, and pairs go whose size, parity sketch or count bounds the overlap
-   below the threshold: |A xor B| is at least the number of differing sketch bits, and what two sets share beyond their
-   counted first elements is at most what one of them has left.
-5. Remaining pairs are compared exactly. Links give the final groups; no link between different groups is missed.
+   block, and pairs go whose size, place or parity sketch bounds the overlap below the threshold: in the first column two
+   sets share, they share at most that one and what either has behind it; and they differ in at least as many elements as
+   in sketch bits.
+5. For the remaining pairs the whole overlap is accumulated, exactly. Links give the final groups; no link between
+   different groups is missed.
 
 Sets travel only for rows that take part in a comparison. A comparison of one row with very many is split by salt.
 
@@ -202,8 +203,9 @@ def deal_columns(hot: np.ndarray, blocks: np.ndarray) -> ArrowMap:
                 at = np.minimum(np.searchsorted(hot, g & ~(1 << 62)), len(hot) - 1)
                 many = np.where((g >> 62 == 1) & (hot[at] == g & ~(1 << 62)), blocks[at], 1).astype(np.int32)
             block = (mixed(doc.astype(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, many, block, doc, n)],
-                                             ["g", "blocks", "block", "rep", "n"])
+            place = (np.arange(len(g)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, many, block, doc, n, place)],
+                                             ["g", "blocks", "block", "rep", "n", "place"])
 
     return run
 
@@ -238,60 +240,56 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
 def keep_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of columns with more than one row, with the smallest row of the column block."""
     for t in whole_groups(batches, ["g", "block"]):
-        g, blocks, block, rep, n = (t[c].to_numpy() for c in ("g", "blocks", "block", "rep", "n"))
+        g, blocks, block, rep, n, place = (t[c].to_numpy() for c in ("g", "blocks", "block", "rep", "n", "place"))
         first = group_starts(g, block)
         sizes = np.diff(np.append(first, len(g)))
         lead = np.repeat(np.minimum.reduceat(rep, first), sizes)
         lead_n = np.repeat(n[rep == lead], sizes)
         met = (np.repeat(sizes, sizes) > 1) | (blocks > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (g, blocks, block, rep, n, lead, lead_n)],
-                                         ["g", "blocks", "block", "rep", "n", "lead", "lead_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (g, blocks, block, rep, n, place, lead, lead_n)],
+                                         ["g", "blocks", "block", "rep", "n", "place", "lead", "lead_n"])
 
 
 def products(percent: int) -> ArrowMap:
-    """Overlap counts of the column blocks of a task, for pairs of different groups that sizes and sketches allow."""
-    names = ["a", "b", "na", "nb", "c", "rest"]
+    """Pairs of different groups in the column blocks of a task that sizes, places and sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["g", "bi", "bj"], 50_000):
-            rep, n, label, last, block = (t[c].to_numpy() for c in ("rep", "n", "label", "last", "block"))
+        for t in whole_groups(batches, ["g", "bi", "bj"], 200_000):
+            rep, n, place, label, block = (t[c].to_numpy() for c in ("rep", "n", "place", "label", "block"))
             cross = t["bi"].to_numpy() != t["bj"].to_numpy()
             bits = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
             first = group_starts(t["g"].to_numpy(), t["bi"].to_numpy(), t["bj"].to_numpy())
             end = np.repeat(np.append(first[1:], len(rep)), np.diff(np.append(first, len(rep))))
             n = n.astype(np.int64)
-            rest = n - (n - -(-percent * n // 100) + 1)
+            rest = n - place
             found: list[np.ndarray] = []
             size, live, d = 0, np.arange(len(rep)), 1
             while len(live := live[live + d < end[live]]):
                 j = live + d
                 ok = (label[live] != label[j]) & (100 * np.minimum(n[live], n[j]) >= percent * np.maximum(n[live], n[j]))
+                # As first shared column of the pair, it leaves at most what one of both has behind it.
+                ok &= (1 + np.minimum(rest[live], rest[j])) * (100 + percent) >= percent * (n[live] + n[j])
                 ok &= ~cross[live] | (block[live] != block[j])
                 x, y = live[ok], j[ok]
                 differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
                 near = (n[x] + n[y] - differ) * (100 + percent) >= 2 * percent * (n[x] + n[y])
-                x, y = x[near], y[near]
+                x, y = rep[x[near]], rep[y[near]]
                 if len(x):
-                    swap = rep[x] > rep[y]
-                    a, b = np.where(swap, y, x), np.where(swap, x, y)
-                    left = np.where(last[a] <= last[b], rest[a], rest[b])
-                    found.append(np.stack([rep[a], rep[b], n[a], n[b], left]))
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
                     size += len(x)
-                if size > 500_000:
-                    yield summed(found)
-                    found, size = [], 0
+                if size > 1_000_000:
+                    found, size = [distinct(found)], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.pop()], ["a", "b"])
                 d += 1
             if found:
-                yield summed(found)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in distinct(found)], ["a", "b"])
 
-    def summed(found: list[np.ndarray]) -> pa.RecordBatch:
-        a, b, na, nb, left = np.concatenate(found, axis=1)
+    def distinct(found: list[np.ndarray]) -> np.ndarray:
+        a, b = np.concatenate(found, axis=1)
         order = np.lexsort((b, a))
-        a, b, na, nb, left = (x[order] for x in (a, b, na, nb, left))
+        a, b = a[order], b[order]
         first = group_starts(a, b)
-        count = np.diff(np.append(first, len(a)))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], na[first], nb[first], count,
-                                                                 left[first])], names)
+        return np.stack([a[first], b[first]])
 
     return run
 
@@ -393,9 +391,9 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     # Joins that grow with the input are sorted merges at every size, so that a small run shows what a large one does.
     rows = written(rows.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "rows")
     entries = rows.select("doc_id", "n", "keys").mapInArrow(
-        deal_columns(hot, blocks), "g long, blocks int, block int, rep long, n int")
+        deal_columns(hot, blocks), "g long, blocks int, block int, rep long, n int, place int")
     met = entries.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(
-        keep_met, "g long, blocks int, block int, rep long, n int, lead long, lead_n int")
+        keep_met, "g long, blocks int, block int, rep long, n int, place int, lead long, lead_n int")
     met = written(met, "met")
 
     leads = met.where("blocks > 1").select("g", F.struct("lead", "lead_n").alias("l")).distinct()
@@ -408,22 +406,20 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     links = written(verified(near, texts, n, percent).select("a", "b"), "links")
     groups = written(components(links), "groups")
 
-    info = rows.select(F.col("doc_id").alias("rep"), F.element_at("keys", -1).alias("last"), "sketch").join(
-        groups.select(F.col("id").alias("rep"), "component_id"), "rep", "left").withColumn(
+    info = rows.select(F.col("doc_id").alias("rep"), "sketch").join(
+        groups.select(F.col("id").alias("rep"), "component_id").hint("merge"), "rep", "left").withColumn(
         "label", F.coalesce("component_id", "rep")).drop("component_id")
     info = written(info, "info")
     labelled = met.select("g", "rep").join(info.select("rep", "label").hint("merge"), "rep")
     mixed_columns = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(
         "x <> y").select("g")
-    open_ = met.select("g", "blocks", "block", "rep", "n").join(mixed_columns.hint("merge"), "g", "left_semi").join(
-        info.hint("merge"), "rep")
+    open_ = met.select("g", "blocks", "block", "rep", "n", "place").join(
+        mixed_columns.hint("merge"), "g", "left_semi").join(info.hint("merge"), "rep")
     paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n",
-        "label", "last", "sketch")
-    counted = paired.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(
-        products(percent), "a long, b long, na long, nb long, c long, rest long")
-    pairs = counted.groupBy("a", "b", "na", "nb", "rest").agg(F.sum("c").alias("c")).where(
-        f"(c + rest) * {100 + percent} >= {percent} * (na + nb)")
+        "place", "label", "sketch")
+    pairs = paired.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(
+        products(percent), "a long, b long")
     more = verified(pairs, texts, n, percent).select("a", "b")
     of_rep = components(links.union(more))
 
