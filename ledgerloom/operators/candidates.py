@@ -52,6 +52,17 @@ def _nearest(probes: DataFrame, points: DataFrame, part: list[str], limit: int)
     return one_side(F.asc).unionByName(one_side(F.desc))
 
 
+def _nearest_of(queries: DataFrame, points: DataFrame, keys: list[str], buckets: Column, limit: int) -> DataFrame:
+    """(query, invoice_key) of the nearest amounts among points with equal keys.
+
+    Only distinct keys and totals are looked up, so queries that share them do not crowd one part.
+    """
+    asked = queries.where("query.total is not null").withColumn("total", F.col("query.total"))
+    probes = asked.select(*keys, "total").distinct().withColumn("query", F.struct(*keys, "total"))
+    found = _nearest(probes.withColumn("bucket", buckets), points, [*keys, "bucket"], limit).distinct()
+    return asked.join(found.select("query.*", "invoice_key"), [*keys, "total"]).select("query", "invoice_key")
+
+
 def _score(cfg: Config) -> Column:
     diff = F.coalesce(F.greatest(cfg.amount_weight - F.abs(F.col("amount_diff")), F.lit(0)), F.lit(0))
     gap = F.coalesce(F.greatest(cfg.date_weight - F.col("date_gap"), F.lit(0)), F.lit(0))
@@ -94,13 +105,11 @@ def rank_candidates(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFram
         queries.join(_keep_smallest_keys(points, ["supplier_key"], k), "supplier_key").select("query", "invoice_key"),
         dated.join(_keep_smallest_keys(points, ["supplier_key", "ledger_date"], k),
                    ["supplier_key", "ledger_date"]).select("query", "invoice_key"),
-        _nearest(queries.where("query.total is not null").withColumn("bucket", by_amount),
-                 _keep_smallest_keys(amounts, ["supplier_key", "bucket", "amount"], k),
-                 ["supplier_key", "bucket"], k),
-        _nearest(dated.where("query.total is not null").withColumn("bucket", by_amount),
-                 _keep_smallest_keys(amounts.where("ledger_date is not null"),
-                                     ["supplier_key", "ledger_date", "bucket", "amount"], k),
-                 ["supplier_key", "ledger_date", "bucket"], k),
+        _nearest_of(queries, _keep_smallest_keys(amounts, ["supplier_key", "bucket", "amount"], k),
+                    ["supplier_key"], by_amount, k),
+        _nearest_of(dated, _keep_smallest_keys(amounts.where("ledger_date is not null"),
+                                               ["supplier_key", "ledger_date", "bucket", "amount"], k),
+                    ["supplier_key", "ledger_date"], by_amount, k),
     ]
     scored = (found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
               .select("query", F.col("query.name").alias("name"), "invoice_key")

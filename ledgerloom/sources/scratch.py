@@ -42,9 +42,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this process has stored; frames that read them are of no use afterwards."""
+def stored() -> list[str]:
+    """Folders of the tables this process has stored and not released, oldest first."""
+    return list(_STORED)
+
+
+def release(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete stored tables, all of them by default; frames that read them are of no use afterwards."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    for folder in stored() if folders is None else folders:
+        _STORED.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
