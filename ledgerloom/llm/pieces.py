@@ -257,6 +257,16 @@ def chunks(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a column, null ones as empty ones."""
+    if column.null_count or column.values.null_count:
+        yield from (x or [] for x in column.to_pylist())
+        return
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield values[a:b].tolist()
+
+
 def _others(df: DataFrame, *new: str) -> list[str]:
     return [c for c in df.columns if c not in new]
 
@@ -290,7 +300,7 @@ def decode(df: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
             for part in chunks(batch, pc.multiply(pc.list_value_length(batch.column(at)), 4)):
-                texts = [library.decode(x) if x else "" for x in part.column(at).to_pylist()]
+                texts = [library.decode(x) if x else "" for x in id_lists(part.column(at))]
                 yield pa.RecordBatch.from_arrays(part.columns + [pa.array(texts, pa.string())], kept + ["decoded"])
 
     return df.select(*kept).mapInArrow(run, T.StructType(
