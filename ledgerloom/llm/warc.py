@@ -129,10 +129,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     folder = folder or f"{shared_folder(spark)}/archives/{uuid.uuid4().hex}"
     records = with_references(pages, **how)
     html = how.get("payload_col", "html")
-    samples = [bytes(r[0]) for r in pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("h"), F.encode(
-        F.substring(html, 1, DICT_RECORD_BYTES), "UTF-8").alias("s")).orderBy("h").limit(dict_records)
-        .select("s").collect()]
-    dictionary = train_dictionary([record_bytes(i, "http://", s, "0" * 64, None) for i, s in enumerate(samples)])
+    # A share of the pages by hash, about twice the wanted number however many pages there are.
+    share = min(1.0, 2 * dict_records / max(1, pages.count()))
+    h = F.pmod(F.xxhash64(html), F.lit(1 << 30))
+    picked = pages.where(F.col(html).isNotNull() & (h < int(share * (1 << 30)))).select(
+        F.xxhash64(html).alias("h"), F.encode(F.substring(html, 1, DICT_RECORD_BYTES), "UTF-8").alias("s"))
+    samples = [bytes(s) for _, s in sorted(map(tuple, picked.dropDuplicates(["h"]).limit(2 * dict_records).collect()))]
+    dictionary = train_dictionary([record_bytes(i, "http://", s, "0" * 64, None) for i, s in enumerate(samples[:dict_records])])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
