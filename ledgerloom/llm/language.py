@@ -31,6 +31,7 @@ UNKNOWN = "und"
 LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"\P{L}+")
 BLOCK_BYTES = 2 << 10
 LEVEL = 6
+LEAD_BYTES = 256
 MIN_MARGIN = 0.001
 
 
@@ -89,18 +90,24 @@ def trusted(texts: dict[str, list[str]], dict_bytes: int) -> dict[str, list[str]
 
 
 def sizes(dictionaries: dict[str, bytes], block_bytes: int = BLOCK_BYTES, level: int = LEVEL):
-    """A function from a text of letters to its compressed size under each dictionary, in the languages' order."""
-    coders = []
+    """A function from a text of letters to its compressed size under each dictionary, in the languages' order.
+
+    The text follows a piece of the dictionary, which costs next to nothing: alone, a text of a few words would be
+    stored as it is, with the same size everywhere.
+    """
+    coders, leads = [], []
     for lang in sorted(dictionaries):
         d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=level)
         coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False,
                                                write_checksum=False, write_dict_id=False))
+        leads.append(dictionaries[lang][-LEAD_BYTES:])
 
     def of(text: str) -> list[int]:
-        raw = text.encode("utf-8", "surrogatepass")
-        blocks = [raw[i:i + block_bytes] for i in range(0, len(raw), block_bytes)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in coders]
+        raw = b" " + text.encode("utf-8", "surrogatepass") + b" "
+        rest = [raw[i:i + block_bytes] for i in range(block_bytes, len(raw), block_bytes)]
+        return [len(c.compress(lead + raw[:block_bytes])) + sum(len(c.compress(b)) for b in rest)
+                for c, lead in zip(coders, leads)]
 
     return of
 
