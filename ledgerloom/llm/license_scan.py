@@ -48,13 +48,30 @@ KNOWN = (
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:c[^\p{L}\p{N}\n]+)?[0-9]|\(c\)|©).*$"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; blank if it has no words."""
+def words_of(text: Column) -> Column:
+    """Lower-case words of a text with single blanks between and around, without lines that state a copyright."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for one, other in EQUIVALENT:
-        words = F.replace(words, F.lit(f" {one.replace('-', ' ')} "), F.lit(f" {other.replace('-', ' ')} "))
-    return F.trim(words)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def one_spelling(words: Column) -> Column:
+    """The words with equivalent spellings made one; blank if there are none. Most texts need one look only."""
+    pairs = [(f" {a.replace('-', ' ')} ", f" {b.replace('-', ' ')} ") for a, b in EQUIVALENT]
+    changed = words
+    for one, other in pairs:
+        changed = F.replace(changed, F.lit(one), F.lit(other))
+    any_of = " (?:" + "|".join(one.strip() for one, _ in pairs) + ") "
+    return F.trim(F.when(words.rlike(any_of), changed).otherwise(words))
+
+
+def with_digest(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """Kept columns and the digest of the canonical form, an empty string without words.
+
+    The steps are projections of their own and the digest is never null, so that no step is computed twice.
+    """
+    words = rows.select(*keep, words_of(text).alias("_words"))
+    forms = words.select(*keep, one_spelling(F.col("_words")).alias("_form"))
+    return forms.select(*keep, F.coalesce(F.when(F.length("_form") > 0, F.sha2("_form", 256)), F.lit("")).alias("digest"))
 
 
 def known_licenses(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
@@ -62,20 +79,20 @@ def known_licenses(spark: SparkSession, extra: DataFrame | None = None) -> DataF
     rows = spark.createDataFrame(list(KNOWN), "license string, text string")
     if extra is not None:
         rows = rows.unionByName(extra.select("license", "text"))
-    form = canonical(F.col("text"))
-    return rows.where(F.length(form) > 0).groupBy(F.sha2(form, 256).alias("digest")).agg(F.min("license").alias("license"))
+    return with_digest(rows, F.col("text"), "license").where("digest <> ''").groupBy("digest").agg(
+        F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, digest (null without words) and license (null if unknown)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("form")).select(
-        "doc_id", F.when(F.length("form") > 0, F.sha2("form", 256)).alias("digest"))
-    return rows.join(known.select("digest", "license"), "digest", "left").select("doc_id", "digest", "license")
+    rows = with_digest(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), "doc_id")
+    return rows.join(known.select("digest", "license"), "digest", "left").select(
+        "doc_id", F.nullif("digest", F.lit("")).alias("digest"), "license")
 
 
 def scan_lines(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, license): lines, counted from 1, that are a known licence as a whole."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
-    rows = lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), canonical(F.col("text")).alias("form")).where(
-        F.length("form") > 0).select("doc_id", "line", F.sha2("form", 256).alias("digest"))
-    return rows.join(known.select("digest", "license"), "digest").select("doc_id", "line", "license")
+    rows = with_digest(lines, F.col("text"), "doc_id", "line")
+    return rows.join(known.select("digest", "license"), "digest").select(
+        "doc_id", (F.col("line") + 1).cast("long").alias("line"), "license")
