@@ -55,8 +55,8 @@ class Counter:
         if len(met) + len(fresh) > self.cached:
             met.clear()
             fresh = list(set(pieces))
-        for p, ids in zip(fresh, self.coder.encode_ordinary_batch(fresh, num_threads=1)):
-            met[p] = len(ids)
+        encode = self.coder.encode_ordinary
+        met.update((p, len(encode(p))) for p in fresh)
         return [met[p] for p in pieces]
 
 
