@@ -4,8 +4,8 @@ A dictionary is up to ``dict_bytes`` of learning text, put before the text as if
 texts are read, in lower case and reduced to letters with single blanks between, in blocks so that the dictionary stays
 in reach; the sizes of a text's blocks add up.
 
-Learning reads at most ``texts_per_lang`` excerpts of ``excerpt_chars`` characters per language, those whose hash is
-smallest, over at most ``max_langs`` languages. As labels can be wrong, the excerpts of each half are classified under
+Learning reads at most ``texts_per_lang`` different excerpts of ``excerpt_chars`` characters per language, those whose
+hash is smallest, over at most ``max_langs`` languages. As labels can be wrong, the excerpts of each half are classified under
 dictionaries of the other half, and those that disagree with their label are left out. Prediction sees nothing but the
 text.
 
@@ -44,19 +44,24 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dict_
           texts_per_lang: int = 400, excerpt_chars: int = 600, max_langs: int = 200) -> dict[str, bytes]:
     """Language -> dictionary content, from rows that have a language and letters.
 
-    The smallest text hashes win, of a share of the rows that keeps the shuffle as small as the result. At most
-    max_langs * texts_per_lang * excerpt_chars characters reach the driver.
+    Copies of an excerpt are one. The smallest hashes win, of a share of the distinct excerpts that keeps the shuffle
+    small. At most max_langs * texts_per_lang * excerpt_chars characters reach the driver.
     """
-    known = docs.where(F.col(lang_col).isNotNull())
-    held = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    start = F.substring(text_col, 1, excerpt_chars)
+    # A text that begins with a long stretch without letters is read from its first letter on.
+    excerpt = F.when(start.rlike(r"\p{L}"), start).otherwise(
+        F.regexp_extract(text_col, rf"(?s)\p{{L}}.{{0,{excerpt_chars - 1}}}", 0))
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), excerpt.alias("t")).where(
+        "t <> ''").select("lang", F.regexp_replace(F.lower("t"), r"\P{L}+", " ").alias("t")).withColumn(
+        "h", F.xxhash64("t"))
+    held = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).orderBy(
+        F.desc("n"), "lang").limit(max_langs).collect()
     if not held:
         return {}
-    # A share of each language's rows by text hash, about twice the wanted number however many there are.
+    # A share of each language's distinct excerpts by hash, about twice the wanted number; all where there are few.
     cut = F.create_map(*[F.lit(x) for r in held for x in (
-        r["lang"], int(min(1.0, 2 * texts_per_lang / r["count"]) * (1 << 30)))])
-    h = F.xxhash64(text_col)
-    rows = known.where((F.pmod(h, F.lit(1 << 30)) < cut[F.col(lang_col)]) & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), h.alias("h"), F.substring(text_col, 1, excerpt_chars).alias("t"))
+        r["lang"], int(min(1.0, 2 * texts_per_lang / max(1, r["texts"])) * (1 << 30)))])
+    rows = known.where(F.pmod("h", F.lit(1 << 30)) < cut[F.col("lang")]).select("lang", "h", "t").distinct()
     first = Window.partitionBy("lang").orderBy("h", "t")
     picked = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts_per_lang)
     labels: dict[str, set[str]] = {}

@@ -54,3 +54,17 @@ def test_conflicting_and_wrong_labels_are_left_out(spark):
     learnt = x.learn(documents(spark, rows, langs))
     assert same.encode() not in learnt["aa"] and same.encode() not in learnt["bb"]
     assert x.letters(wrong).encode() not in learnt["aa"]
+
+
+def test_a_language_of_a_few_large_groups_of_copies(spark):
+    rng = random.Random(5)
+    few = [text(rng, "aa") for _ in range(4)]
+    few.append("1 " * 400 + text(rng, "aa"))
+    rows = few * 400 + ["12 !?"] * 500 + [text(rng, "bb") for _ in range(40)]
+    learnt = x.learn(documents(spark, rows, ["aa"] * 2500 + ["bb"] * 40), texts_per_lang=10)
+    assert sorted(learnt) == ["aa", "bb"]
+    assert all(x.letters(t)[1:500].encode() in learnt["aa"] for t in few)
+    # Copies do not take the places of other texts.
+    mixed = few[:1] * 2000 + [text(rng, "aa") for _ in range(30)]
+    learnt = x.learn(documents(spark, mixed, ["aa"] * len(mixed)), texts_per_lang=20)
+    assert len(learnt["aa"].split(b"\n")) == 20
