@@ -44,13 +44,32 @@ KNOWN = (
              "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 )
 
-#: A line that states a copyright, in lower case: the word or sign, then a year, or a sign alone.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:c[^\p{L}\p{N}\n]+)?[0-9]|\(c\)|©).*$"
-
-
-def words_of(text: Column) -> Column:
-    """Lower-case words of a text with single blanks between and around, without lines that state a copyright."""
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+_GAP = r"[^\p{L}\p{N}\n]*"
+_YEAR = r"(?:19|20)[0-9]{2}"
+#: A statement that shows as one wherever it stands: the word with a sign, a year or reserved rights, (c) with a year or
+#: a kind of holder, or a sign alone.
+_STATED = (rf"{_GAP}(?:copyright{_GAP}(?:[0-9]|c[^\p{{L}}\p{{N}}\n]+[0-9]|\(c\)|©)[^\n]*"
+           rf"|(?:copyright|\(c\))[^\n]*[^\p{{L}}\p{{N}}\n]{_YEAR}{_GAP}$"
+           rf"|(?:copyright|\(c\))[^\n]*all rights reserved{_GAP}$"
+           rf"|\(c\){_GAP}[0-9][^\n]*"
+           r"|\(c\)[ \t]+(?:[^ \t\r\n]+[ \t]+){0,6}"
+           rf"(?:authors?|contributors|company|corp|corporation|developers|foundation|gmbh|inc|llc|ltd|project|team){_GAP}$"
+           r"|©[^\n]*)")
+#: The word and a short name, which a wrapped sentence about copyright holders can look like.
+_NAMED = rf"{_GAP}copyright[ \t]+(?:\p{{L}}[^ \t\r\n]*)(?:[ \t]+[^ \t\r\n]+){{0,6}}[ \t\r]*$"
+#: Lines that state a copyright, in lower case; those with a bare name only where a paragraph starts, after at most eight
+#: other such lines.
+COPYRIGHT_LINE = (rf"(?m)^(?:(?:\A|{_GAP}\n)(?:(?:{_STATED}|{_NAMED})\n){{0,8}}(?:{_STATED}|{_NAMED})|{_STATED})")
+#: What each of them holds; texts without any are not searched.
+COPYRIGHT_SIGNS = ("copyright", "(c)", "©")
+
+
+def words_of(low: Column) -> Column:
+    """Words of a lower-case text with single blanks between and around, without lines that state a copyright."""
+    any_sign = F.contains(low, F.lit(COPYRIGHT_SIGNS[0]))
+    for sign in COPYRIGHT_SIGNS[1:]:
+        any_sign = any_sign | F.contains(low, F.lit(sign))
+    kept = F.when(any_sign, F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
@@ -69,7 +88,8 @@ def with_digest(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
 
     The steps are projections of their own and the digest is never null, so that no step is computed twice.
     """
-    words = rows.select(*keep, words_of(text).alias("_words"))
+    low = rows.select(*keep, F.lower(F.coalesce(text, F.lit(""))).alias("_low"))
+    words = low.select(*keep, words_of(F.col("_low")).alias("_words"))
     forms = words.select(*keep, one_spelling(F.col("_words")).alias("_form"))
     return forms.select(*keep, F.coalesce(F.when(F.length("_form") > 0, F.sha2("_form", 256)), F.lit("")).alias("digest"))
 

@@ -25,6 +25,26 @@ def test_licenses_by_canonical_digest(spark):
     assert license_scan.scan(documents(spark, []), known).count() == 0
 
 
+HEADERS = ["Copyright (c) Jane Doe", "Copyright Example Ltd 2020", "Copyright The Authors", "Copyright © Jane Doe",
+           "(c) 2020 Jane Doe", "(C) Jane Doe, 2020", "(c) Example Ltd.", "© Jane", "Copyright Jane Doe. All rights reserved.",
+           "Copyright (C) 1999-2020 One\nCopyright Two and Three\n * Copyright (c) Four"]
+
+
+def test_copyright_lines_of_all_kinds(spark):
+    known = license_scan.known_licenses(spark)
+    clauses = ["(c) You must retain the notice", "(c) You may drop the notice", "x",
+               "by the\ncopyright holders and others", "by the copyright\nholders and others", "by the and others"]
+    rows = [f"{h}\n\nReleased under the MIT License" for h in HEADERS] + [
+        f"Licence text:\n\n{h}\r\n\r\nx" for h in HEADERS] + clauses
+    got = [r for r in sorted(license_scan.scan(documents(spark, rows), known).collect(), key=lambda r: r["doc_id"])]
+    n = len(HEADERS)
+    assert [rows[i] for i in range(n) if got[i]["license"] != "MIT"] == []
+    assert len({r["digest"] for r in got[n:2 * n]}) == 1
+    # Clauses and wrapped sentences stay.
+    a, b, c, d, e, f = [r["digest"] for r in got[2 * n:]]
+    assert len({a, b, c}) == 3 and None not in (a, b, c) and d == e != f
+
+
 @pytest.fixture(scope="module")
 def ranks():
     with open(RANKS, "rb") as f:
