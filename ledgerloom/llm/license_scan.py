@@ -4,6 +4,8 @@ The canonical form is lower case, without lines that state a copyright, with equ
 the public licence matching guidelines), and with every run of anything but letters and digits as one blank. Texts and
 known licences go through the same column expression, and the digests meet in an equi-join; no part of a text matches.
 
+Known are a few one-line notices and the whole texts in ``licenses/``; ``known_licenses`` takes further ones.
+
 ``scan`` looks at whole documents, ``scan_lines`` at the same whole-text rule for each line, so that a notice that makes
 up a line of a document is reported with its line numbers.
 
@@ -13,6 +15,10 @@ licences share a canonical form, the first name in order is reported. Extra colu
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Equivalent words of the public licence matching guidelines.
@@ -31,7 +37,7 @@ EQUIVALENT = (
 )
 
 # Short public licence notices, by identifier.
-KNOWN = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -44,6 +50,28 @@ KNOWN = (
              "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 )
 
+FULL_TEXTS = Path(__file__).with_name("licenses")
+
+
+def full_texts() -> Iterator[tuple[str, str]]:
+    """(license, text) of the whole public texts, also without the title, with reserved rights, without the appendix."""
+    for path in sorted(FULL_TEXTS.glob("*.txt")):
+        text = path.read_text("utf-8")
+        for end in re.finditer(r"END OF TERMS AND CONDITIONS\s", text):
+            yield path.stem, text[:end.start()]
+            yield path.stem, text[:end.end()]
+        yield path.stem, text
+        title, body = text.split("\n\n", 1)
+        if path.stem in UNTITLED:
+            for first in (title, f"The {title}", f"The {title} ({path.stem})", f"{title} ({path.stem})", ""):
+                yield path.stem, f"{first}\n\n{body}"
+                yield path.stem, f"{first}\n\nAll rights reserved.\n\n{body}"
+
+
+#: Short licences, often given without their title.
+UNTITLED = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT")
+KNOWN = NOTICES + tuple(full_texts())
+
 _GAP = r"[^\p{L}\p{N}\n]*"
 _YEAR = r"(?:19|20)[0-9]{2}"
 #: A statement that shows as one wherever it stands: the word with a sign, a year or reserved rights, (c) with a year or

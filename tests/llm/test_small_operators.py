@@ -2,6 +2,7 @@
 
 import os
 import random
+import textwrap
 import zstandard
 import pytest
 
@@ -45,6 +46,28 @@ def test_copyright_lines_of_all_kinds(spark):
     assert len({a, b, c}) == 3 and None not in (a, b, c) and d == e != f
 
 
+def test_full_licence_texts(spark):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT",
+             "MPL-2.0"]
+    rows, want = [], []
+    for name in names:
+        text = (license_scan.FULL_TEXTS / f"{name}.txt").read_text("utf-8")
+        title, body = text.split("\n\n", 1)
+        for width in (50, 200):
+            # Paragraphs wrapped anew, but for those with a line of their own for the copyright.
+            parts = [p if "opyright (C)" in p else textwrap.fill(p, width) for p in text.split("\n\n")]
+            rows.append("Copyright (c) Some One\n\n" + "\n\n".join(parts))
+            want.append(name)
+        if name in license_scan.UNTITLED:
+            rows += [f"{title}\n\nCopyright 2031 Other People\nAll rights reserved.\n\n{body}", f"(c) Example Ltd\n\n{body}"]
+            want += [name] * 2
+        rows.append(text.replace(" and ", " or ", 1))
+        want.append(None)
+    known = license_scan.known_licenses(spark)
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(documents(spark, rows), known).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 @pytest.fixture(scope="module")
 def ranks():
     with open(RANKS, "rb") as f:
