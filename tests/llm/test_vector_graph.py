@@ -70,3 +70,25 @@ def test_no_rows_one_row_and_extra_columns(spark):
     assert result(x.near_duplicates(one)) == {5: (0, 5, True)}
     assert result(x.near_duplicates(spark.createDataFrame([(5, None, 0), (6, None, 0)], DDL))) == {
         5: (0, 5, True), 6: (0, 6, True)}
+
+
+@pytest.mark.parametrize("block", [10_000, 50])
+def test_all_pairs_are_compared_where_the_graph_finds_too_few(spark, monkeypatch, block):
+    monkeypatch.setattr(x, "SHARD_NODES", 60)
+    monkeypatch.setattr(x, "EXACT_BLOCK", block)
+    node_links = x.node_links
+    monkeypatch.setattr(x, "node_links", lambda *how: node_links(*how).where("a % 2 = 0"))
+    rows = vectors(4)
+    got = result(x.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)], DDL)))
+    assert got == expected(rows, 0.9)
+
+
+def test_the_audit_sees_isolated_pairs_beside_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=32)
+    dense = [c + rng.normal(size=32) * 0.01 for _ in range(60)]
+    lone = [v for _ in range(10) for v in [rng.normal(size=32)] * 1 for v in (v, v + rng.normal(size=32) * 0.01)]
+    unit = [(v / np.linalg.norm(v)).tolist() for v in dense + lone]
+    nodes = spark.createDataFrame(list(enumerate(unit)), "node long, v array<double>")
+    links = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a long, b long")
+    assert x.audit_recall(nodes, links, 80, 0.9, 32) < 0.9
