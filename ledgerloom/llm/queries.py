@@ -8,8 +8,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import (
-    exact_dedup, language, license_scan, line_dedup, ngram_join, packing, pieces, suffix_dedup, token_counts, vector_graph,
-    warc)
+    exact_dedup, language, license_scan, line_dedup, ngram_join, packing, pieces, prefix_trie, suffix_dedup, token_counts,
+    vector_graph, warc)
 from ledgerloom.llm.common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -208,3 +208,40 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes in DuckDB, bit by bit: it has no function of its own."""
+    byte = f"list_transform(range(strlen({text})), lambda i: instr('0123456789ABCDEF', hex({text}::BLOB)[2 * i + 1]) * 16 " \
+           f"+ instr('0123456789ABCDEF', hex({text}::BLOB)[2 * i + 2]) - 17)"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    whole = f"list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda a, b: list_reduce(" \
+            f"list_prepend(xor(a, b)::BIGINT, range(8)), lambda c, j: {step}))"
+    return f"xor({whole}, 4294967295)"
+
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS ts
+           FROM t GROUP BY conv_id),
+     c AS (SELECT conv_id, ts, ({crc32_sql('conv_id::VARCHAR')} % 6)::INT AS h FROM o),
+     b AS (SELECT c.conv_id, coalesce(k.ts, [])[1:c.h] || c.ts[c.h + 1:] AS ts
+           FROM c LEFT JOIN o k ON k.conv_id = c.conv_id - c.conv_id % 100),
+     p AS (SELECT conv_id, d, ts[1:d] AS node, len(ts) AS whole FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM b)),
+     n AS (SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = d), '') AS ends,
+                  node[:-2] AS parent, CASE WHEN any_value(d) > 0 THEN (count(*) - 1) * length(node[-1].t) ELSE 0 END AS own
+           FROM p GROUP BY node),
+     k AS (SELECT parent, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+     x AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, u.conv_id AS parent_conv_id
+           FROM n LEFT JOIN k ON k.parent = n.node LEFT JOIN n u ON n.depth > 0 AND u.node = n.parent),
+     a AS (SELECT node[1:k] AS top, own, (n_children = 0)::INT AS leaf FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM x)),
+     s AS (SELECT top, sum(own)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM a GROUP BY top)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+FROM x JOIN s ON s.top = x.node
+"""
