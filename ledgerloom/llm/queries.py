@@ -8,8 +8,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import (
-    exact_dedup, language, license_scan, line_dedup, ngram_join, packing, pieces, prefix_trie, suffix_dedup, token_counts,
-    vector_graph, warc)
+    exact_dedup, language, license_scan, line_dedup, ngram_join, packing, pieces, prefix_trie, resampling, suffix_dedup,
+    token_counts, vector_graph, warc)
 from ledgerloom.llm.common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -217,8 +217,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crc32_sql(text: str) -> str:
     """Unsigned CRC-32 of a string's UTF-8 bytes in DuckDB, bit by bit: it has no function of its own."""
-    byte = f"list_transform(range(strlen({text})), lambda i: instr('0123456789ABCDEF', hex({text}::BLOB)[2 * i + 1]) * 16 " \
-           f"+ instr('0123456789ABCDEF', hex({text}::BLOB)[2 * i + 2]) - 17)"
+    byte = f"list_transform(range(strlen({text})), lambda i: instr('0123456789ABCDEF', hex(encode({text}))[2 * i + 1]) * 16 " \
+           f"+ instr('0123456789ABCDEF', hex(encode({text}))[2 * i + 2]) - 17)"
     step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
     whole = f"list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda a, b: list_reduce(" \
             f"list_prepend(xor(a, b)::BIGINT, range(8)), lambda c, j: {step}))"
@@ -245,3 +245,30 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
 FROM x JOIN s ON s.top = x.node
 """
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op13_resampling"] = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+     w AS (SELECT doc_id, unnest(ws) AS f FROM d), v AS (SELECT unnest({WORDS}) AS f FROM benchmark),
+     c AS (SELECT f, ({crc32_sql('f')} % 10000)::INT AS b FROM (SELECT f FROM w UNION SELECT f FROM v)),
+     s AS (SELECT b, count(*) AS s FROM w JOIN c USING (f) GROUP BY b),
+     t AS (SELECT b, count(*) AS t FROM v JOIN c USING (f) GROUP BY b),
+     n AS (SELECT (SELECT count(*) FROM w)::DOUBLE AS s_all, (SELECT count(*) FROM v)::DOUBLE AS t_all),
+     g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)
+                                     / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+           FROM s LEFT JOIN t USING (b), n),
+     x AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM w JOIN c USING (f) JOIN g USING (b) GROUP BY doc_id),
+     h AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                  ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM d LEFT JOIN x USING (doc_id)),
+     y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+     r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+           FROM y WHERE n_features >= 20)
+SELECT y.*, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)
+"""
