@@ -30,7 +30,7 @@ def resolve_duplicates(docs: DataFrame) -> DataFrame:
     """Mark all but the last document of each number, and the place the number first appeared.
 
     The last one is found by a partial aggregate and joined back by its document, so a number shared by
-    very many copies is never gathered in one task. ``file_order`` may be any type that can be ordered.
+    very many copies is never gathered in one task.
     """
     last = (docs.where("invoice_key is not null").groupBy("invoice_key")
             .agg(F.max(F.struct("file_order", "doc_id")).alias("last"), F.min("file_order").alias("first_order"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ledgerloom.config import Config
 from ledgerloom.operators import matching
 from ledgerloom.operators.ledger import reconcilable
+from ledgerloom.operators.numbering import numbered
 from ledgerloom.sources.scratch import cut, written
 
 
@@ -27,9 +28,13 @@ class Cascade:
     def prepared(self) -> DataFrame:
         """Every document, with its duplicate and superseded marks.
 
-        The narrow columns are stored first: an extraction is a long chain, and marking reads it many times.
+        The narrow columns are stored first: an extraction is a long chain, and marking reads it many times. A file
+        order of another kind than a number, such as path and document, becomes one here; later steps see a bigint.
         """
-        return matching.prepare(written(matching.narrow_invoices(self.invoices), "narrow"))
+        narrow = matching.narrow_invoices(self.invoices)
+        if dict(narrow.dtypes)["file_order"] == "bigint":
+            return matching.prepare(written(narrow, "narrow"))
+        return matching.prepare(numbered(narrow, ["file_order", "doc_id"], "file_order"))
 
     @cached_property
     def groups(self) -> DataFrame:
