@@ -265,6 +265,9 @@ ORACLES: dict[str, str] = {
     "pdf_lines": build(LINES, f"select {_LINE_COLS}, outcome, doc_id, line_no from alone"),
     "contiguous_groups": build(RUNS, """select outcome, doc_id, line_no,
  cast(sum(st) over (partition by outcome order by place, line_no) as bigint) as run_no, st=1 as starts_run from marked"""),
+    "group_runs": build(RUNS, """select outcome, run_no, count(*) as n_lines, max(case when st=1 then doc_id end) as doc_id,
+ max(case when st=1 then line_no end) as line_no from (
+  select *, cast(sum(st) over (partition by outcome order by place, line_no) as bigint) as run_no from marked) group by outcome, run_no"""),
     "kpi": build(RUNS, """select (select count(*) from prepared where k is not null and not is_duplicate and not is_superseded) as invoices_read,
  (select count(*) from (select distinct invoice_number from lines where outcome='matched')) as matched,
  (select cast(sum(st) as bigint) from marked where outcome='discrepancy') as amount_mismatch,

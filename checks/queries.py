@@ -12,6 +12,7 @@ from ledgerloom.operators import documents as docs_op
 from ledgerloom.operators import (
     candidates, filenames, headers, ledger as ledger_op, matching, outcome_lines, pairing, quality, review,
     second_reader, similar, totals)
+from ledgerloom.operators.factored import Factored
 from ledgerloom.plans import extraction
 from ledgerloom.plans.cascade import Cascade
 from ledgerloom.plans.reconcile import all_lines, with_pending
@@ -200,13 +201,9 @@ def outcome_counts(s, d):
 
 # --- outcome rows and reports ---------------------------------------------------------------------
 
-def lines_of_run(s, d, flags=False):
+def lines_of_run(s, d):
     c = cascade(s, d)
-    inv = derived(s, d, "invoice")
-    q = None
-    if flags:
-        q = cut(quality.quality_flags(quality.quality_input(c.documents, inv, c.ledger), c.ledger, CFG))
-    return c, written(all_lines(c, inv, CFG, q), "outcome")
+    return c, written(all_lines(c, derived(s, d, "invoice"), CFG), "outcome")
 
 
 @query
@@ -229,22 +226,35 @@ def pdf_lines(s, d):
         c.documents.where("outcome = 'invoice_only'"), derived(s, d, "invoice"), CFG).drop("source_file", "match_level")
 
 
+def factored(s, d, flags=False):
+    c, inv = cascade(s, d), derived(s, d, "invoice")
+    q = None
+    if flags:
+        q = cut(quality.quality_flags(quality.quality_input(c.documents, inv, c.ledger), c.ledger, CFG))
+    links = written(outcome_lines.ledger_links(c.ledger, c.documents, c.claimed, c.decisions), "links")
+    return c, Factored(c.documents, links, c.unused, inv, CFG, q)
+
+
 @query
 def contiguous_groups(s, d):
-    _, lines = lines_of_run(s, d)
-    return review.contiguous_groups(lines).select("outcome", "doc_id", "line_no", "run_no", "starts_run")
+    return factored(s, d)[1].line_runs()
+
+
+@query
+def group_runs(s, d):
+    """Runs as ranges: where each begins and how many lines it has."""
+    return factored(s, d)[1].runs()
 
 
 @query
 def kpi(s, d):
-    c, lines = lines_of_run(s, d)
-    return review.indicators(c.prepared, lines)
+    c, f = factored(s, d)
+    return f.indicators(c.prepared)
 
 
 @query
 def payables_export(s, d):
-    _, lines = lines_of_run(s, d)
-    return review.payables(lines)
+    return factored(s, d)[1].payables()
 
 
 @query
@@ -270,14 +280,12 @@ def warnings_report(s, d):
 
 @query
 def flagged_documents(s, d):
-    _, lines = lines_of_run(s, d, flags=True)
-    return review.flagged_documents(lines).drop("source_file")
+    return factored(s, d, flags=True)[1].flagged_documents().drop("source_file")
 
 
 @query
 def highlight_counts(s, d):
-    _, lines = lines_of_run(s, d, flags=True)
-    return review.with_highlight(lines).groupBy("outcome", "flagged").agg(F.count("*").alias("n"))
+    return factored(s, d, flags=True)[1].highlight_counts()
 
 
 @query

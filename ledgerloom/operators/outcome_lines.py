@@ -92,11 +92,10 @@ def ledger_links(ledger: DataFrame, documents: DataFrame, claimed: DataFrame, de
     return by_number.unionByName(by_order).unionByName(by_row)
 
 
-def merged_lines(documents: DataFrame, links: DataFrame, invoices: DataFrame, cfg: Config) -> DataFrame:
-    """Rows present on both sides: line detail from the ledger, header from the invoice.
+def merged_heads(documents: DataFrame, links: DataFrame, invoices: DataFrame, cfg: Config) -> DataFrame:
+    """One row per matched or discrepant document: its ledger group and what all of its lines share.
 
-    Order, supplier and dates fall back to the ledger; number and currency never do. This is the sheet
-    form: every document of a group lists every row of the group.
+    ``head_po`` and ``head_supplier`` are null where every line takes those of its ledger row.
     """
     d = with_group(documents.where("match_level is not null")).withColumn("note", match_note(cfg))
     d = d.select("doc_id", "group_key", "match_level", "outcome", "note", "first_corrected_row")
@@ -106,23 +105,53 @@ def merged_lines(documents: DataFrame, links: DataFrame, invoices: DataFrame, cf
     fixes = links.join(d.select(F.col("first_corrected_row").alias("row_no")).where("row_no is not null").distinct(),
                        "row_no", "left_semi").where("group_key like 'number:%'").select(
         F.col("row_no").alias("first_corrected_row"), strip(F.col("invoice_number")).alias("corrected_no"))
-    d = d.join(fixes, "first_corrected_row", "left")
+    return d.join(fixes, "first_corrected_row", "left").select(
+        "doc_id", "group_key", "match_level", "outcome", "note", "source_file",
+        F.coalesce("corrected_no", "invoice_no").alias("invoice_number"), blank_to_null(F.col("po_no")).alias("head_po"),
+        blank_to_null(F.col("inv_supplier")).alias("head_supplier"), "inv_date", "inv_due", "inv_currency")
+
+
+def expanded(heads: DataFrame, links: DataFrame) -> DataFrame:
+    """The sheet form of heads: every document of a group lists every row of the group.
+
+    Order, supplier and dates fall back to the ledger; number and currency never do.
+    """
     rows = links.select("group_key", F.col("row_no").alias("line_no"), "po_number", "supplier", "invoice_date",
                         "due_date", "description", "unit_no", "unit_price", "excl", "gst", "incl")
-
-    return d.join(rows, "group_key").select(
-        F.coalesce("corrected_no", "invoice_no").alias("invoice_number"),
-        F.coalesce(blank_to_null(F.col("po_no")), F.col("po_number")).alias("po_number"),
-        F.coalesce(blank_to_null(F.col("inv_supplier")), F.col("supplier")).alias("supplier"),
+    return heads.join(rows, "group_key").select(
+        "invoice_number", F.coalesce("head_po", "po_number").alias("po_number"),
+        F.coalesce("head_supplier", "supplier").alias("supplier"),
         F.coalesce("inv_date", "invoice_date").alias("invoice_date"), F.coalesce("inv_due", "due_date").alias("due_date"),
         "description", "unit_no", F.col("inv_currency").alias("currency"), "unit_price", "excl", "gst", "incl",
         F.lit("Both").alias("source"), "note", "outcome", "match_level", "doc_id", "line_no", "source_file")
 
 
+def merged_lines(documents: DataFrame, links: DataFrame, invoices: DataFrame, cfg: Config) -> DataFrame:
+    """Rows present on both sides: line detail from the ledger, header from the invoice."""
+    return expanded(merged_heads(documents, links, invoices, cfg), links)
+
+
+def alone_note(items: Column, total: Column, po: Column, cfg: Config) -> Column:
+    """Note of an invoice without a ledger side: the hint, and what is known of it where it has no items."""
+    hint = unmatched_note(po, cfg)
+    return (F.when(F.coalesce(F.size(items), F.lit(0)) > 0, hint)
+            .when(total.isNotNull(), join_notes(hint, F.lit(TOTAL_ONLY)))
+            .otherwise(F.concat(F.when(hint != "", F.concat(hint, F.lit(" / "))).otherwise(F.lit("")), F.lit(NO_ITEMS))))
+
+
+def alone_heads(docs: DataFrame, invoices: DataFrame, cfg: Config) -> DataFrame:
+    """One row per invoice without a ledger side: what its lines share, and how many there are."""
+    n_items = F.coalesce(F.size("line_items"), F.lit(0))
+    return invoices.join(docs.select("doc_id", "outcome"), "doc_id").select(
+        "doc_id", "outcome", alone_note(F.col("line_items"), F.col("subtotal.amount_incl"), F.col("po_no"), cfg).alias("note"),
+        "source_file", F.col("invoice_no").alias("invoice_number"), F.col("po_no").alias("po_number"), "supplier",
+        F.greatest(n_items, F.lit(1)).cast("bigint").alias("n_lines"))
+
+
 def invoice_lines(docs: DataFrame, invoices: DataFrame, cfg: Config) -> DataFrame:
     """Rows of invoices without a ledger side: their items, else their total, else a trace of them."""
     i = invoices.join(docs.select("doc_id", "outcome"), "doc_id")
-    i = i.withColumn("hint", unmatched_note(F.col("po_no"), cfg))
+    i = i.withColumn("note", alone_note(F.col("line_items"), F.col("subtotal.amount_incl"), F.col("po_no"), cfg))
     x = i.select("*", F.posexplode_outer("line_items").alias("pos", "item"))
     itemless = F.col("item").isNull()
     total_only = itemless & F.col("subtotal.amount_incl").isNotNull()
@@ -134,9 +163,6 @@ def invoice_lines(docs: DataFrame, invoices: DataFrame, cfg: Config) -> DataFram
     def known(c: str) -> Column:
         return F.when(~trace, F.col(c))
 
-    note = (F.when(total_only, join_notes(F.col("hint"), F.lit(TOTAL_ONLY)))
-            .when(trace, F.concat(F.when(F.col("hint") != "", F.concat("hint", F.lit(" / "))).otherwise(F.lit("")),
-                                  F.lit(NO_ITEMS))).otherwise(F.col("hint")))
     return x.select(
         F.col("invoice_no").alias("invoice_number"), F.col("po_no").alias("po_number"), "supplier",
         known("invoice_date").alias("invoice_date"), known("due_date").alias("due_date"),
@@ -144,7 +170,7 @@ def invoice_lines(docs: DataFrame, invoices: DataFrame, cfg: Config) -> DataFram
         known("currency").alias("currency"), F.col("item.unit_price").alias("unit_price"),
         F.when(~trace, amount("amount_excl", "amount_excl")).alias("excl"), F.when(~trace, amount("gst", "gst")).alias("gst"),
         F.when(~trace, amount("amount_incl", "amount_incl")).alias("incl"),
-        F.lit("PDF").alias("source"), note.alias("note"), "outcome", F.lit(None).cast("string").alias("match_level"),
+        F.lit("PDF").alias("source"), "note", "outcome", F.lit(None).cast("string").alias("match_level"),
         "doc_id", F.coalesce("pos", F.lit(0)).cast("bigint").alias("line_no"), "source_file")
 
 

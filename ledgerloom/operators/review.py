@@ -22,8 +22,8 @@ UNRECOGNISED = "(number not recognized)"
 
 def contiguous_groups(lines: DataFrame) -> DataFrame:
     """Runs of adjacent rows with equal number, order and note, in document order within an outcome."""
-    return number_runs(lines.withColumn("place", F.coalesce("doc_id", "line_no")), ["outcome"], "place",
-                       ["place", "line_no"], ["invoice_number", "po_number", "note"]).drop("place")
+    return number_runs(lines.withColumn("place", F.coalesce("doc_id", "line_no")), ["outcome"], ["place", "line_no"],
+                       F.struct("invoice_number", "po_number", "note")).drop("place")
 
 
 def flagged_documents(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from helpers import DAY, by_id, invoice_row, invoices, ledger, ledger_row
 from ledgerloom.config import Config
 from ledgerloom.functions.similarity import score
 from ledgerloom.operators.candidates import rank_candidates
-from ledgerloom.operators.islands import number_runs
+from pyspark.sql import functions as F
+
+from ledgerloom.operators.islands import _edges, _in_slices, count_runs, number_runs
 from ledgerloom.operators.median import exact_median
 from ledgerloom.operators.quality import repair_suggestions
 from ledgerloom.operators.similar import similar_names
@@ -48,18 +50,45 @@ def test_medians_of_a_hot_and_many_small_groups(spark):
 
 
 def test_runs_cross_slices(spark):
+    """Ids are sparse 64-bit numbers; one summary row per slice and part is stitched."""
     rng = random.Random(2)
-    rows, want, last = [], {}, {}
-    for i in range(400):
-        part, key = rng.choice("xy"), rng.choice(["a", "b", None])
+    ids = sorted(rng.randrange(-(1 << 63), 1 << 63) for _ in range(400))
+    rows, want, starts, last = [], {}, {}, {}
+    for i in ids:
+        part, key = rng.choice(["x", "y", "y", "y", None]), rng.choice(["a", "b", None])
         rows.append((i, part, key))
         no, prev = last.get(part, (0, "none"))
-        no = no if prev == key else no + 1
+        starts[i] = prev != key
+        no += prev != key
         last[part] = (no, key)
         want[i] = (part, no)
     df = spark.createDataFrame(rows, "i bigint, part string, key string").repartition(3)
-    got = number_runs(df, ["part"], "i", ["i"], ["key"], width=7)
-    assert {r.i: (r.part, r.run_no) for r in got.collect()} == want
+    got = number_runs(df, ["part"], ["i"], F.col("key"))
+    assert got.columns == ["i", "part", "key", "starts_run", "run_no"]
+    got = got.collect()
+    assert {r.i: (r.part, r.run_no) for r in got} == want and {r.i: r.starts_run for r in got} == starts
+    counts = {r.part: (r.n_items, r.n_runs) for r in count_runs(df, ["part"], ["i"], F.col("key")).collect()}
+    assert counts == {p: (sum(v[0] == p for v in want.values()), no) for p, (no, _) in last.items()}
+    edges = _edges(_in_slices(df, ["part"], ["i"], F.col("key"), None, None), ["part"])
+    assert edges.groupBy("slice", "part").count().where("count > 1").count() == 0 and edges.count() <= 3 * 4
+
+
+def test_items_that_stand_for_several_rows(spark):
+    """Runs of items with keys at both ends equal the runs of the rows they stand for."""
+    rng = random.Random(4)
+    items, no, prev, want = [], 0, None, {}
+    for i in range(120):
+        keys = [rng.choice("ab") for _ in range(rng.randint(1, 4))]
+        for n, k in enumerate(keys):
+            starts = k != prev
+            no, prev = no + starts, k
+            if n == 0:
+                want[i] = (starts, no)
+        items.append((i, keys[0], keys[-1], sum(x != y for x, y in zip(keys, keys[1:]))))
+    df = spark.createDataFrame(items, "i bigint, f string, l string, n int").withColumn("p", F.lit(1))
+    got = number_runs(df, ["p"], ["i"], F.col("f"), F.col("l"), F.col("n")).collect()
+    assert {r.i: (r.starts_run, r.run_no) for r in got} == want
+    assert count_runs(df, ["p"], ["i"], F.col("f"), F.col("l"), F.col("n")).first().n_runs == no
 
 
 def test_repairs(spark):
