@@ -43,6 +43,7 @@ MAX_HOT = 65_536
 HOT_FROM = 64
 BLOCK_ROWS = 2048
 SALT_ROWS = 1000
+LEAD_ROUNDS = 2
 SKETCH_WORDS = 8
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -250,6 +251,44 @@ def keep_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["g", "blocks", "block", "rep", "n", "place", "lead", "lead_n"])
 
 
+def allowed(percent: int, x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray,
+            bits: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) of entries of one column are of two groups and not ruled out by size, place or sketch."""
+    rest = n - place
+    ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    # As first shared column of the pair, it leaves at most what one of both has behind it.
+    ok &= (1 + np.minimum(rest[x], rest[y])) * (100 + percent) >= percent * (n[x] + n[y])
+    at = np.flatnonzero(ok)
+    x, y = x[at], y[at]
+    differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
+    ok[at] = (n[x] + n[y] - differ) * (100 + percent) >= 2 * percent * (n[x] + n[y])
+    return ok
+
+
+def drawn_leads(percent: int, seed: int) -> ArrowMap:
+    """Pairs of each entry with one row of its column block, drawn by a hash of row and column: at most one pair an entry.
+
+    A row meets as many different rows as it has columns, so groups whose smallest row is not near all others still
+    grow together before all pairs between groups are looked at.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["g", "block"]):
+            g, rep, n, place, label = (t[c].to_numpy() for c in ("g", "rep", "n", "place", "label"))
+            bits = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+            first = group_starts(g, t["block"].to_numpy())
+            sizes = np.diff(np.append(first, len(g)))
+            draw = mixed(mixed(rep.astype(np.uint64) + np.uint64(seed)) ^ g.astype(np.uint64))
+            by_draw = np.lexsort((draw, np.repeat(np.arange(len(first)), sizes)))
+            y, x = np.repeat(by_draw[first], sizes), np.arange(len(g))
+            ok = allowed(percent, x, y, n.astype(np.int64), place, label, bits)
+            a, b = rep[x[ok]], rep[y[ok]]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in pair], ["a", "b"])
+
+    return run
+
+
 def products(percent: int) -> ArrowMap:
     """Pairs of different groups in the column blocks of a task that sizes, places and sketches allow."""
 
@@ -261,19 +300,12 @@ def products(percent: int) -> ArrowMap:
             first = group_starts(t["g"].to_numpy(), t["bi"].to_numpy(), t["bj"].to_numpy())
             end = np.repeat(np.append(first[1:], len(rep)), np.diff(np.append(first, len(rep))))
             n = n.astype(np.int64)
-            rest = n - place
             found: list[np.ndarray] = []
             size, live, d = 0, np.arange(len(rep)), 1
             while len(live := live[live + d < end[live]]):
                 j = live + d
-                ok = (label[live] != label[j]) & (100 * np.minimum(n[live], n[j]) >= percent * np.maximum(n[live], n[j]))
-                # As first shared column of the pair, it leaves at most what one of both has behind it.
-                ok &= (1 + np.minimum(rest[live], rest[j])) * (100 + percent) >= percent * (n[live] + n[j])
-                ok &= ~cross[live] | (block[live] != block[j])
-                x, y = live[ok], j[ok]
-                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
-                near = (n[x] + n[y] - differ) * (100 + percent) >= 2 * percent * (n[x] + n[y])
-                x, y = rep[x[near]], rep[y[near]]
+                ok = allowed(percent, live, j, n, place, label, bits) & (~cross[live] | (block[live] != block[j]))
+                x, y = rep[live[ok]], rep[j[ok]]
                 if len(x):
                     found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
                     size += len(x)
@@ -375,6 +407,16 @@ def sketch_allows(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         (both - differ) * (100 + percent) >= both * (2 * percent)).select("a", "b")
 
 
+def still_mixed(entries: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries of columns that more than one group holds, with each row's group as ``label`` and its sketch."""
+    info = written(rows.select(F.col("doc_id").alias("rep"), "sketch").join(
+        groups.select(F.col("id").alias("rep"), "component_id").hint("merge"), "rep", "left").withColumn(
+        "label", F.coalesce("component_id", "rep")).drop("component_id"), "info")
+    labelled = entries.select("g", "rep").join(info.select("rep", "label").hint("merge"), "rep")
+    mixed_columns = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+    return entries.join(mixed_columns.hint("merge"), "g", "left_semi").join(info.hint("merge"), "rep")
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest id reachable over links."""
@@ -404,17 +446,14 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     size_allows = f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
     near = sketch_allows(written(star.union(over_blocks).where(size_allows).distinct(), "star"), rows, percent)
     links = written(verified(near, texts, n, percent).select("a", "b"), "links")
-    groups = written(components(links), "groups")
-
-    info = rows.select(F.col("doc_id").alias("rep"), "sketch").join(
-        groups.select(F.col("id").alias("rep"), "component_id").hint("merge"), "rep", "left").withColumn(
-        "label", F.coalesce("component_id", "rep")).drop("component_id")
-    info = written(info, "info")
-    labelled = met.select("g", "rep").join(info.select("rep", "label").hint("merge"), "rep")
-    mixed_columns = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(
-        "x <> y").select("g")
-    open_ = met.select("g", "blocks", "block", "rep", "n", "place").join(
-        mixed_columns.hint("merge"), "g", "left_semi").join(info.hint("merge"), "rep")
+    open_ = met.select("g", "blocks", "block", "rep", "n", "place")
+    for seed in range(LEAD_ROUNDS):
+        open_ = written(still_mixed(open_, rows, components(links)), "open")
+        pairs = open_.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(
+            drawn_leads(percent, seed), "a long, b long")
+        links = written(links.union(verified(pairs, texts, n, percent).select("a", "b")), "links")
+        open_ = open_.drop("label", "sketch")
+    open_ = still_mixed(open_, rows, components(links))
     paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n",
         "place", "label", "sketch")
