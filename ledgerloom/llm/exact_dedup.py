@@ -7,7 +7,8 @@ Map tasks first fold the copies they see themselves, so a text that makes up a t
 per map task. The finished index is a parquet table, one row per distinct text, that later batches can be probed with.
 
 Edge cases: null text counts as empty, so all null and empty texts are one group. Extra columns are ignored. No rows
-give an empty index and an empty result.
+give an empty index and an empty result. Every row counts in its group, also where ids are null or shared, and exactly one
+row of a group is kept: of repeated rows any one, of null ids one only where no row of the group has an id.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import ArrowMap, texts_of
+from ledgerloom.llm.rowkeys import ids_back, keyed_rows
 from ledgerloom.sources.scratch import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,7 +53,8 @@ class Chains:
         chain = self.of.setdefault(key, [])
         for entry in chain:
             if entry[0] == text:
-                entry[1] = max(entry[1], keep_id)
+                if entry[1] is None or keep_id is not None and keep_id > entry[1]:
+                    entry[1] = keep_id
                 entry[2] += n
                 return False
         chain.append([text, keep_id, n])
@@ -193,13 +196,29 @@ def probe(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: s
         "text = _indexed").select("doc_id", "keep_id")
 
 
-def exact_dedup(docs: DataFrame, **how) -> DataFrame:
+def by_index(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+    """``exact_dedup`` where ids are unique and not null."""
+    return assign(docs, build_index(docs, id_col=id_col, text_col=text_col, **how), id_col, text_col)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame | None, DataFrame | None]:
+    keyed = keyed_rows(docs, id_col, F.xxhash64(text_col), nulls_first=True)
+    return keyed, keyed and keyed.select("key", F.col(f"of.`{text_col}`").alias("text"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Group equal texts; of each group the row with the largest id stays."""
-    names = {k: how[k] for k in ("id_col", "text_col") if k in how}
-    return assign(docs, build_index(docs, **how), **names)
+    keyed, rows = _keyed(docs, id_col, text_col)
+    if keyed is None:
+        return by_index(docs, id_col, text_col, **how)
+    return ids_back(by_index(rows, "key", "text", **how), keyed, id_col, "doc_id", "keep_id")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, with all their columns."""
-    stay = exact_dedup(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(stay, docs[id_col] == stay["_id"], "left_semi")
+    keyed, rows = _keyed(docs, id_col, text_col)
+    if keyed is None:
+        stay = by_index(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("stays"))
+        return docs.join(stay, docs[id_col] == stay["stays"], "left_semi")
+    stay = by_index(rows, "key", "text", **how).where("kept").select(F.col("doc_id").alias("stays"))
+    return keyed.join(stay, keyed["key"] == stay["stays"], "left_semi").select("of.*")

@@ -18,8 +18,10 @@ the incidence matrix. N-grams that many documents hold come last in the order; t
 Sets travel only for rows that take part in a comparison. A comparison of one row with very many is split by salt.
 
 Edge cases: null text counts as empty. Documents without words have an empty set and are linked with nothing; with fewer
-words than ``n``, the whole sequence is one shingle. Repeated rows of equal text share a group. No rows give no rows.
-Extra columns are ignored. Ids are taken to be unique and not null.
+words than ``n``, the whole sequence is one shingle. No rows give no rows. Extra columns
+are ignored. Every row counts as a document, also where ids are null or shared: a repeated row shares a group with its
+copies, one id with two texts is in two groups if these are not alike, and a null id comes after all others, so it names a
+group only where no row of the group has an id. ``keep_one`` keeps exactly one row of a group.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import ArrowMap, components, id_filter, mixed, passing, texts_of
+from ledgerloom.llm.rowkeys import ids_back, keyed_rows
 from ledgerloom.sources.scratch import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -420,6 +423,15 @@ def still_mixed(entries: DataFrame, rows: DataFrame, groups: DataFrame) -> DataF
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest id reachable over links."""
+    keyed = keyed_rows(docs, id_col, F.xxhash64(text_col))
+    if keyed is None:
+        return groups_by_id(docs, n, percent, id_col, text_col, block_rows)
+    out = groups_by_id(keyed.select("key", F.col(f"of.`{text_col}`").alias("text")), n, percent, "key", "text", block_rows)
+    return ids_back(out, keyed, id_col, "doc_id", "component_id")
+
+
+def groups_by_id(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``similar_groups`` where ids are unique and not null."""
     if not (n >= 1 and 0 < percent <= 100):
         raise ValueError("n must be positive and percent in 1 to 100")
     texts = texts_of(docs, id_col, text_col)
@@ -468,7 +480,14 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         F.when(F.col("n") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns."""
-    stay = similar_groups(docs, id_col=id_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(stay, docs[id_col] == stay["_id"], "left_semi")
+    def stay(rows: DataFrame, key: str, text: str) -> DataFrame:
+        return groups_by_id(rows, n, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("stays"))
+
+    keyed = keyed_rows(docs, id_col, F.xxhash64(text_col))
+    if keyed is None:
+        ids = stay(docs, id_col, text_col)
+        return docs.join(ids, docs[id_col] == ids["stays"], "left_semi")
+    ids = stay(keyed.select("key", F.col(f"of.`{text_col}`").alias("text")), "key", "text")
+    return keyed.join(ids, keyed["key"] == ids["stays"], "left_semi").select("of.*")

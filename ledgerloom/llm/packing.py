@@ -9,8 +9,8 @@ histogram on the driver stays under exact_to + 64 * 40 cells whatever the docume
 upper bounds and the chosen padding is optimal among boundaries on those cells.
 
 Edge cases: null and empty texts have length 0 and form batches of padded length 0, of at most ``slice_rows`` documents.
-A document longer than the budget is a batch of its own. Ties in length are ordered by id. No rows give no rows. Ids are
-taken to be unique and not null; other columns are ignored.
+A document longer than the budget is a batch of its own. Ties in length are ordered by id. No rows give no rows. Every
+row is packed as a document of its own, also where ids are null or shared. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ An anchor group beyond ``hot_contexts`` distinct contexts is not sorted in one t
 in an aggregation that combines before it shuffles, which gives the same starts.
 
 Edge cases: null counts as empty; texts shorter than ``length`` lose nothing; overlapping strings count, also within one
-document. Repeated rows of one id are taken as separate texts only if the ids differ; ids are taken to be unique and not
-null. Where whole documents are returned, characters that are cut in two go altogether, and other columns stay.
+document. Every row is a text of its own, also where ids are null or shared, so repeated rows repeat each other's
+strings. An empty table gives no rows. Where whole documents are returned, characters that are cut in two go altogether, and other columns stay.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import ArrowMap, id_filter, passing, texts_of
+from ledgerloom.llm.rowkeys import ids_back, keyed_rows
 from ledgerloom.sources.scratch import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -500,21 +501,26 @@ def split_texts(length: int) -> ArrowMap:
 
 
 def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, **how) -> DataFrame:
-    """The documents with the runs of repeated starts as another column, null without any."""
+    """The documents with the runs of repeated starts as another column, the last one, null without any."""
     per_doc = repeated_runs(docs, length, id_col=id_col, text_col=text_col, **how).groupBy(
-        F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "number")).alias("_found"))
-    return docs.join(per_doc, docs[id_col] == per_doc["_id"], "left").drop("_id")
+        F.col("doc_id").alias("__of_doc")).agg(F.collect_list(F.struct("start", "number")).alias("__found_runs"))
+    return docs.join(per_doc, docs[id_col] == per_doc["__of_doc"], "left").drop("__of_doc")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    **how) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (removed byte ranges, in order) and kept (the bytes that remain)."""
-    own = texts_of(docs, id_col, text_col)
-    return with_runs(own, length, "doc_id", "text", **how).mapInArrow(split_texts(length), SPLIT_DDL)
+    keyed = keyed_rows(docs, id_col, F.xxhash64(text_col))
+    own = texts_of(docs, id_col, text_col) if keyed is None else texts_of(
+        keyed.select("key", F.col(f"of.`{text_col}`").alias("text")), "key", "text")
+    out = with_runs(own, length, "doc_id", "text", **how).mapInArrow(split_texts(length), SPLIT_DDL)
+    return out if keyed is None else ids_back(out, keyed, id_col, "doc_id")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents with what remains of their texts, and all their other columns; characters cut in two go whole."""
+    keyed = keyed_rows(docs, id_col, F.xxhash64(text_col))
+    rows, key = (docs, id_col) if keyed is None else (keyed.select("of.*", F.col("key").alias("__row_key")), "__row_key")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,4 +531,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
-    return with_runs(docs, length, id_col, text_col, **how).mapInArrow(run, docs.schema)
+    out = with_runs(rows, length, key, text_col, **how).mapInArrow(run, rows.schema)
+    return out if keyed is None else out.drop("__row_key")

@@ -15,7 +15,9 @@
 Every vector is indexed and every vector is a query; only centroids and audit use samples, of documented size.
 
 Edge cases: null vectors and vectors with null or non-finite components or of length zero link with nothing. Equal vectors
-link; vectors of another dimension than most sampled ones link with equal ones only. No rows give no rows. Ids are taken to be unique and not null.
+link; every dimension has its own graph, and vectors of different dimensions never link. No rows give no rows. Every row
+counts as a vector, also where ids are null or shared: repeated rows link with each other, and a null id comes after all
+others, so it names a component only where no row of it has an id. One row of a component is kept.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import ArrowMap, components
+from ledgerloom.llm.rowkeys import ids_back, keyed_rows
 from ledgerloom.sources.scratch import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -404,29 +407,45 @@ def node_links(nodes: DataFrame, n: int, dim: int, least: float, centroids: np.n
     return links
 
 
+def searched_links(usable: DataFrame, n: int, dim: int, least: float, overlap: int, probes: int, min_recall: float,
+                   attempts: int) -> DataFrame:
+    """(a, b) of linked nodes of one dimension, by search until the audit is passed, else by comparing all pairs."""
+    centroids = centroids_of(usable, n, dim, overlap)
+    for _ in range(attempts):
+        links = node_links(usable, n, dim, least, centroids, overlap, probes)
+        if audit_recall(usable, links, n, least, dim) >= min_recall:
+            return links
+        if probes >= len(centroids):
+            break
+        probes *= 2
+    return exact_links(usable, n, dim, least)
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding",
                     overlap: int = 2, probes: int = 4, min_recall: float = 0.97, attempts: int = 3) -> DataFrame:
     """Per vector: vec_id, n_links, component_id and kept."""
+    how = {"least": least, "overlap": overlap, "probes": probes, "min_recall": min_recall, "attempts": attempts}
+    keyed = keyed_rows(vectors.select(id_col, vector_col), id_col, F.xxhash64(F.col(vector_col).cast("string")))
+    if keyed is None:
+        return by_id(vectors, id_col, vector_col, **how)
+    rows = keyed.select("key", F.col(f"of.`{vector_col}`").alias("embedding"))
+    return ids_back(by_id(rows, "key", "embedding", **how), keyed, id_col, "vec_id", "component_id")
+
+
+def by_id(vectors: DataFrame, id_col: str, vector_col: str, least: float, overlap: int, probes: int, min_recall: float,
+          attempts: int) -> DataFrame:
+    """``near_duplicates`` where ids are unique and not null."""
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     units = unit_vectors(vectors, id_col, vector_col)
     units = written(units.withColumn("same", F.xxhash64(F.col("v").cast("string"))), "units")
     nodes = written(units.groupBy("same", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("held")), "nodes")
-    n = nodes.count()
-    first = sampled(nodes, n, 256)
-    dim = first.shape[1]
-    usable = nodes.where(F.size("v") == dim).select("node", "v")
-    links = usable.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a < b")
-    if n > 1:
-        centroids = centroids_of(usable, n, dim, overlap)
-        enough = False
-        for _ in range(attempts):
-            links = node_links(usable, n, dim, least, centroids, overlap, probes)
-            enough = audit_recall(usable, links, n, least, dim) >= min_recall
-            if enough or probes >= len(centroids):
-                break
-            probes *= 2
-        if not enough:
-            links = exact_links(usable, n, dim, least)
+    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a < b")
+    dims = nodes.groupBy(F.size("v").alias("dim")).count().where("count > 1").orderBy("dim").collect()
+    for dim, n in dims:  # vectors of different dimensions have no angle; each dimension has a graph of its own
+        usable = nodes.where(F.size("v") == dim).select("node", "v")
+        found = searched_links(usable if len(dims) == 1 else written(usable, "usable"), n, dim, least, overlap, probes,
+                               min_recall, attempts)
+        links = links.union(found.select("a", "b"))
     groups = components(links)
     held = nodes.select("node", "held")
     both = links.union(links.select("b", "a")).toDF("node", "other")

@@ -8,7 +8,9 @@ no record behind or doubled. Equal payloads of ``min_revisit_bytes`` or more are
 id; the others become revisit records that name it.
 
 Edge cases: null html counts as empty; such and all other small payloads are responses. A null url becomes an empty
-target. No pages give no archives and no rows. Ids are taken to be unique and not null. Extra columns are ignored.
+target. No pages give no archives and no rows. Extra columns are ignored. Every row becomes a record, also where page ids
+are null or shared: of repeated rows the first is the response and the others revisit it under the same page id. A null id
+comes after all others, is left out of the record's head and read back as null.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.llm.rowkeys import keyed_rows
 from ledgerloom.sources.scratch import shared_folder, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,20 +49,27 @@ RECORD_DDL = ("page_id long, url string, record_type string, payload_digest stri
               "payload binary")
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(record: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{record}')}>"
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record: head, block (none for a revisit) and the two closing line ends."""
-    head = [VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-            f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {RECORD_DATE}",
-            f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha256:{digest}",
-            f"X-Page-ID: {page_id}", f"X-Payload-Length: {len(payload)}"]
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None,
+                 record: int | None = None, revisits: int | None = None) -> bytes:
+    """One record: head, block (none for a revisit) and the two closing line ends.
+
+    ``record`` and ``revisits`` name this record and the one it revisits where page ids cannot; an id that is null is
+    left out.
+    """
+    record, revisits = page_id if record is None else record, refers_to if revisits is None else revisits
+    head = [VERSION, f"WARC-Type: {'response' if revisits is None else 'revisit'}",
+            f"WARC-Record-ID: {record_id(record)}", f"WARC-Date: {RECORD_DATE}",
+            f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head += [] if page_id is None else [f"X-Page-ID: {page_id}"]
+    head += [f"X-Payload-Length: {len(payload)}"]
     block = payload
-    if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}",
-                 f"X-Refers-To-Page-ID: {refers_to}"]
+    if revisits is not None:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(revisits)}"]
+        head += [] if refers_to is None else [f"X-Refers-To-Page-ID: {refers_to}"]
         block = b""
     head += ["Content-Type: text/html", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -82,8 +92,8 @@ def parsed(record: bytes) -> tuple:
         digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
         if digest != fields["WARC-Payload-Digest"].removeprefix("sha256:"):
             raise ValueError("payload and digest differ")
-    refers = fields.get("X-Refers-To-Page-ID")
-    return (int(fields["X-Page-ID"]), fields["WARC-Target-URI"], kind, digest, size,
+    page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
+    return (None if page is None else int(page), fields["WARC-Target-URI"], kind, digest, size,
             None if refers is None else int(refers), payload)
 
 
@@ -110,16 +120,24 @@ def train_dictionary(samples: list[bytes], dict_bytes: int = DICT_BYTES) -> byte
 
 def with_references(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id",
                     payload_col: str = "html", url_col: str = "url") -> DataFrame:
-    """page_id, url, payload, digest and refers_to of the record to write; only keys meet in the aggregation."""
+    """page_id, url, payload, digest, refers_to, record and revisits of the record to write; only keys meet in the aggregation.
+
+    ``record`` is the page id, or a key in the order of page ids where these are null or shared.
+    """
+    keyed = keyed_rows(pages.select(id_col, url_col, payload_col), id_col, F.xxhash64(payload_col, url_col))
+    key, pages = (F.col(id_col), pages) if keyed is None else (F.col("__row_key"), keyed.select(
+        F.col("key").alias("__row_key"), "of.*"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"),
                         F.coalesce(F.col(url_col), F.lit("")).cast("string").alias("url"),
-                        F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload")
-                        ).withColumn("digest", F.sha2("payload", 256))
+                        F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"),
+                        key.cast("long").alias("record")).withColumn("digest", F.sha2("payload", 256))
     long_enough = F.octet_length("payload") >= min_revisit_bytes
-    first = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")
-                                                          ).where("n > 1").drop("n")
-    refers = F.when(long_enough & (F.col("first_id") < F.col("page_id")), F.col("first_id"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    first = rows.where(long_enough).groupBy("digest").agg(
+        F.min(F.struct("record", "page_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = long_enough & (F.col("first.record") < F.col("record"))
+    return rows.join(first, "digest", "left").select(
+        "page_id", "url", "payload", "digest", F.when(again, F.col("first.page_id")).alias("refers_to"), "record",
+        F.when(again, F.col("first.record")).alias("revisits"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES,
@@ -143,14 +161,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
         coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         out, done = None, []
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(batch.column(i) for i in range(5))):
+            for columns in zip(*(batch.column(i) for i in range(7))):
                 if out is None:
                     name = f"{root}/{uuid.uuid4().hex}.warc.zst"
                     out, n, size = fs.open_output_stream(name, compression=None), 0, 0
                     out.write(frame := dictionary_frame(dictionary))
                     size += len(frame)
-                out.write(frame := coder.compress(record_bytes(page_id.as_py(), url.as_py(), payload.as_py(),
-                                                               digest.as_py(), refers_to.as_py())))
+                out.write(frame := coder.compress(record_bytes(*(c.as_py() for c in columns))))
                 n, size = n + 1, size + len(frame)
                 if size >= archive_bytes:
                     out.close()
