@@ -47,6 +47,7 @@ HOT_FROM = 64
 BLOCK_ROWS = 2048
 SALT_ROWS = 1000
 LEAD_ROUNDS = 2
+LEAD_FROM = 24
 SKETCH_WORDS = 8
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -242,7 +243,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
 
 
 def keep_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of columns with more than one row, with the smallest row of the column block."""
+    """Entries of columns with more than one row, with the size and the smallest row of the column block."""
     for t in whole_groups(batches, ["g", "block"]):
         g, blocks, block, rep, n, place = (t[c].to_numpy() for c in ("g", "blocks", "block", "rep", "n", "place"))
         first = group_starts(g, block)
@@ -250,8 +251,9 @@ def keep_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.repeat(np.minimum.reduceat(rep, first), sizes)
         lead_n = np.repeat(n[rep == lead], sizes)
         met = (np.repeat(sizes, sizes) > 1) | (blocks > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (g, blocks, block, rep, n, place, lead, lead_n)],
-                                         ["g", "blocks", "block", "rep", "n", "place", "lead", "lead_n"])
+        held = np.repeat(sizes, sizes).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (g, blocks, block, rep, n, place, lead, lead_n, held)],
+                                         ["g", "blocks", "block", "rep", "n", "place", "lead", "lead_n", "held"])
 
 
 def allowed(percent: int, x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray,
@@ -269,7 +271,7 @@ def allowed(percent: int, x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np
 
 
 def drawn_leads(percent: int, seed: int) -> ArrowMap:
-    """Pairs of each entry with one row of its column block, drawn by a hash of row and column: at most one pair an entry.
+    """Pairs of each entry with one row of its (large) column block, drawn by a hash of row and column: at most one pair an entry.
 
     A row meets as many different rows as it has columns, so groups whose smallest row is not near all others still
     grow together before all pairs between groups are looked at.
@@ -447,7 +449,7 @@ def groups_by_id(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
     entries = rows.select("doc_id", "n", "keys").mapInArrow(
         deal_columns(hot, blocks), "g long, blocks int, block int, rep long, n int, place int")
     met = entries.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(
-        keep_met, "g long, blocks int, block int, rep long, n int, place int, lead long, lead_n int")
+        keep_met, "g long, blocks int, block int, rep long, n int, place int, lead long, lead_n int, held int")
     met = written(met, "met")
 
     leads = met.where("blocks > 1").select("g", F.struct("lead", "lead_n").alias("l")).distinct()
@@ -458,14 +460,16 @@ def groups_by_id(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
     size_allows = f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
     near = sketch_allows(written(star.union(over_blocks).where(size_allows).distinct(), "star"), rows, percent)
     links = written(verified(near, texts, n, percent).select("a", "b"), "links")
-    open_ = met.select("g", "blocks", "block", "rep", "n", "place")
+    every = met.select("g", "blocks", "block", "rep", "n", "place")
+    # Only large columns list many pairs, so only they draw leads first.
+    open_ = met.where(F.col("held") >= LEAD_FROM).select(*every.columns)
     for seed in range(LEAD_ROUNDS):
         open_ = written(still_mixed(open_, rows, components(links)), "open")
         pairs = open_.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(
             drawn_leads(percent, seed), "a long, b long")
         links = written(links.union(verified(pairs, texts, n, percent).select("a", "b")), "links")
         open_ = open_.drop("label", "sketch")
-    open_ = still_mixed(open_, rows, components(links))
+    open_ = still_mixed(every, rows, components(links))
     paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n",
         "place", "label", "sketch")
