@@ -466,3 +466,18 @@ ORACLES["second_reader_merge"] = build(BASE, f"""select doc_id, invoice_no, cast
  case when ok%2=0 and (form=4 or ({_READ})) then 1 else 0 end as n_items from inv""")
 ORACLES["text_to_outcome"] = build(VERDICTS, """select outcome, coalesce(match_level,'none') as level, count(*) as n, cast(sum(total) as double) as total
  from verdicts group by 1,2""")
+
+_SHEET = {**{c: c for c in L.OUT_COLS}, **{c: f"cast({c} as varchar)" for c in ("invoice_date", "due_date")},
+          **{c: f"cast({c} as double)" for c in L.MONEY_COLS}}
+ORACLES["outcome_sink"] = build(LINES, "select " + ", ".join(
+    f'{_SHEET[c]} as "{name}"' for c, name in L.OUT_COLS.items()) + ", outcome from lines")
+ORACLES["side_report_sinks"] = build(VERDICTS + CLEAN[1:], """select 'superseded' as report, invoice_no as number, po_no as po, supplier,
+ cast(incl as double) as amount, source_file as place from prepared p join inv i on p.doc_id=i.doc_id where is_superseded
+ union all select 'pending', invoice_number, po_number, supplier, cast(incl as double), cast(row_no as varchar) from (
+  select invoice_number, po_number, supplier, incl, row_no from clean where invoice_key is null and po_key is null
+  union all select invoice_number, po_number, supplier, incl, row_no from unused where outcome='still_pending')""")
+ORACLES["ledger_quarantine"] = build(CLEAN[:2], """select 'good' as part, count(*) as n, cast(sum(row_no) as bigint) as rows_sum,
+ cast(sum(total_cost) as double) as total, count(distinct invoice_number) as n_numbers, count(invoice_date) as n_dates
+ from ledger_raw where row_no%89 not in (5,7,9) having count(*)>0
+ union all select case when row_no%89=9 then 'no row_no' else 'unreadable' end, count(*), null, null, null, null
+ from ledger_raw where row_no%89 in (5,7,9) group by 1""")

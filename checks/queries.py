@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,8 +17,9 @@ from ledgerloom.operators.factored import Factored
 from ledgerloom.plans import extraction
 from ledgerloom.plans.cascade import Cascade
 from ledgerloom.plans.reconcile import all_lines, with_pending
+from ledgerloom.sources import publish, sinks, tables
 from ledgerloom.sources.derived import base_table, derived
-from ledgerloom.sources.scratch import cut, written
+from ledgerloom.sources.scratch import cut, shared_folder, written
 from ledgerloom.sources.tables import file_kind
 
 CFG = Config(prior_period="1997")
@@ -470,6 +472,50 @@ def text_to_outcome(s, d):
         F.count("*").alias("n"), F.sum("total").alias("total"))
 
 
+# --- sources and sinks -----------------------------------------------------------------------------
+
+@query
+def outcome_sink(s, d):
+    folder = f"{shared_folder(s)}/published/{uuid.uuid4().hex}"
+    publish.publish({"outcome": sinks.outcome_sheet(lines_of_run(s, d)[1])}, folder, partitions={"outcome": "outcome"})
+    return publish.read_published(s, folder, "outcome")
+
+
+@query
+def side_report_sinks(s, d):
+    """Superseded invoices and pending rows, published together and read back through the manifest."""
+    clean = ledger_op.clean_ledger(derived(s, d, "ledger_raw"), ledger_op.vendor_aliases(derived(s, d, "vendor")))
+    c = cascade(s, d)
+    folder = f"{shared_folder(s)}/published/{uuid.uuid4().hex}"
+    publish.publish({
+        "superseded": sinks.superseded_sheet(outcome_lines.superseded_report(c.prepared, derived(s, d, "invoice"))),
+        "pending": sinks.pending_sheet(outcome_lines.pending_report(ledger_op.without_keys(clean), c.unused))}, folder)
+    sup, pen = (publish.read_published(s, folder, n) for n in ("superseded", "pending"))
+    return sup.select(F.lit("superseded").alias("report"), F.col("Invoice No").alias("number"), F.col("PO").alias("po"),
+                      F.col("Supplier").alias("supplier"), F.col("Total").alias("amount"), F.col("File").alias("place")
+                      ).unionByName(pen.select(
+                          F.lit("pending").alias("report"), F.col("Invoice Number").alias("number"),
+                          F.col("PO Number").alias("po"), F.col("Supplier").alias("supplier"),
+                          F.col("`Amount incl. GST`").alias("amount"), F.col("Excel row").cast("string").alias("place")))
+
+
+@query
+def ledger_quarantine(s, d):
+    """A csv copy of the ledger with amounts and dates that are none and lost row numbers."""
+    raw, r = derived(s, d, "ledger_raw"), F.col("row_no") % 89
+    path = f"{shared_folder(s)}/csv/{uuid.uuid4().hex}"
+    damaged = raw.withColumns({
+        "total_cost": F.when(r == 5, "n/a").otherwise(F.col("total_cost").cast("string")),
+        "invoice_date": F.when(r == 7, "31.31.2026").otherwise(F.col("invoice_date").cast("string")),
+        "row_no": F.when(r != 9, F.col("row_no").cast("string"))})
+    damaged.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    good, broken = tables.read_ledger_checked(s, path)
+    return good.groupBy(F.lit("good").alias("part")).agg(
+        F.count("*").alias("n"), F.sum("row_no").alias("rows_sum"), F.sum("total_cost").alias("total"),
+        F.countDistinct("invoice_number").alias("n_numbers"), F.count("invoice_date").alias("n_dates")).unionByName(
+        broken.groupBy(F.col("reason").alias("part")).agg(F.count("*").alias("n")), allowMissingColumns=True)
+
+
 @query
 def file_kinds(s, d):
     names = derived(s, d, "invoice").select(F.explode(F.array(

@@ -18,19 +18,35 @@ def _renamed(df: DataFrame, names: dict[str, str], *also: str) -> DataFrame:
     return df.select(*[F.col(c).alias(n) for c, n in names.items()], *also)
 
 
+def outcome_sheet(lines: DataFrame) -> DataFrame:
+    return _renamed(lines, OUT_COLS, "outcome")
+
+
+def superseded_sheet(report: DataFrame) -> DataFrame:
+    return _renamed(report, SUPERSEDED_COLS)
+
+
+def pending_sheet(report: DataFrame) -> DataFrame:
+    return _renamed(report, PENDING_COLS)
+
+
+def payables_sheet(rows: DataFrame) -> DataFrame:
+    return _renamed(rows, OUT_COLS)
+
+
 def write_outcome(lines: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder per outcome, all with the same columns."""
-    writer = _renamed(lines, OUT_COLS, "outcome").write.partitionBy("outcome")
+    writer = outcome_sheet(lines).write.partitionBy("outcome")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
 def write_superseded(report: DataFrame, path: str) -> None:
-    _renamed(report, SUPERSEDED_COLS).write.option("header", True).csv(path)
+    superseded_sheet(report).write.option("header", True).csv(path)
 
 
 def write_pending(report: DataFrame, path: str) -> None:
-    _renamed(report, PENDING_COLS).write.option("header", True).csv(path)
+    pending_sheet(report).write.option("header", True).csv(path)
 
 
 def write_payables(rows: DataFrame, path: str) -> None:
-    _renamed(rows, OUT_COLS).write.option("header", True).csv(path)
+    payables_sheet(rows).write.option("header", True).csv(path)

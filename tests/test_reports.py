@@ -1,6 +1,7 @@
 from datetime import date
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import DAY, invoice_row, invoices, ledger, ledger_row
@@ -9,7 +10,7 @@ from ledgerloom.operators import review
 from ledgerloom.operators.ledger import clean_ledger, reconcilable, vendor_aliases, without_keys
 from ledgerloom.operators.outcome_lines import OUT_COLS
 from ledgerloom.plans.reconcile import reconcile, reconcile_raw
-from ledgerloom.sources import schemas, sinks, tables
+from ledgerloom.sources import publish, schemas, sinks, tables
 from helpers import page
 
 
@@ -91,6 +92,64 @@ def test_run_from_raw_tables(spark, tmp_path):
     assert [k[0] for k in kinds] == ["ledger", "invoice", None]
 
 
+def test_runs_are_published_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path / "pub")
+    first, second = spark.range(3).toDF("n"), spark.range(5).toDF("n")
+    none = second.where("n < 0").withColumn("a.b c", F.lit("x"))
+    with pytest.raises(LookupError):
+        publish.read_published(spark, folder, "a")
+    assert publish.publish({"a": first, "b": none}, folder, "one")["tables"]["a"]["rows"] == 3
+    breaks = second.select(F.raise_error(F.lit("lost")).cast("bigint").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        publish.publish({"a": second, "b": breaks}, folder, "two")
+    assert publish.read_published(spark, folder, "a").count() == 3
+    assert publish.read_published(spark, folder, "b").columns == ["n", "a.b c"]
+    publish.publish({"a": second, "b": none}, folder, "two")
+    publish.publish({"a": first, "b": none}, folder, "two")
+    assert publish.read_published(spark, folder, "a").count() == 5
+    assert publish.read_published(spark, folder, "a", "one").count() == 3
+    publish.publish({"a": first.withColumn("m", F.lit(1))}, folder, partitions={"a": "n"})
+    assert publish.prune(spark, folder, keep=2) == ["one"]
+    assert sorted(r.n for r in publish.read_published(spark, folder, "a").collect()) == [0, 1, 2]
+    assert publish.read_published(spark, folder, "a", "two").count() == 5
+    with pytest.raises(LookupError):
+        publish.read_published(spark, folder, "a", "one")
+
+
+def test_a_run_is_published_with_its_sheets(spark, tmp_path):
+    r = lines(spark)
+    m = publish.publish_run(r, review.payables(r["outcome"]), str(tmp_path / "run"))
+    assert {n: t["rows"] for n, t in m["tables"].items()} == {
+        "outcome": r["outcome"].count(), "superseded": r["superseded"].count(), "pending": r["pending"].count(),
+        "payables": review.payables(r["outcome"]).count()}
+    assert set(publish.read_published(spark, str(tmp_path / "run"), "pending").columns) == set(sinks.PENDING_COLS.values())
+
+
+def test_broken_source_rows_are_set_aside(spark, tmp_path):
+    path = str(tmp_path / "ledger.csv")
+    names = [f.name for f in spark.createDataFrame([], schemas.LEDGER_RAW).schema]
+    whole = "Delivered,Acme,,INV-1,PO1,1.00,1.00,1.09,,2026-01-14,\"a, b\",1"
+    broken = ["Delivered,Acme,,INV-2,PO1,1.00", whole + ",more", whole.replace("1.09", "n/a"), whole.replace("-14", "-99")]
+    lost = whole[:-1]
+    open(path, "w").write("\n".join([",".join(names), whole, *broken, lost, ",,,,,,,,,,,2"]) + "\n")
+    good, bad = tables.read_ledger_checked(spark, path)
+    assert sorted((x.row_no, x.item_description, x.total_cost) for x in good.collect()) == [(1, "a, b", D("1.09")), (2, None, None)]
+    rows = bad.collect()
+    assert sorted(x.record for x in rows if x.reason == "unreadable") == sorted(broken)
+    assert [x.reason for x in rows if x.reason != "unreadable"] == ["no row_no"] and all("ledger.csv" in x.source for x in rows)
+    tables.quarantine(bad, str(tmp_path / "set_aside"))
+    tables.quarantine(bad, str(tmp_path / "set_aside"))
+    assert spark.read.parquet(str(tmp_path / "set_aside")).count() == 10
+    answers = str(tmp_path / "answers.json")
+    open(answers, "w").write('{"doc_id": 1, "response": "{}"}\n{"doc_id": "x", "response": "{}"}\n{"doc_id": 2, "resp\n{"response": ""}\n')
+    good, bad = tables.read_second_reader_checked(spark, answers)
+    assert [x.doc_id for x in good.collect()] == [1]
+    assert sorted(x.reason for x in bad.collect()) == ["no doc_id", "unreadable", "unreadable"]
+    spark.createDataFrame([("Acme", "A", 1), (None, "B", 2)], schemas.VENDOR).write.parquet(str(tmp_path / "vendor"))
+    good, bad = tables.read_vendors_checked(spark, str(tmp_path / "vendor"), "parquet")
+    assert good.count() == 1 and bad.first().record == '{"brands":"B","row_no":2}'
+
+
 def test_stored_tables_go_when_released(spark, tmp_path):
     import os
     from ledgerloom.sources import scratch
