@@ -405,7 +405,8 @@ def filename_parse(s, d):
 @query
 def totals_extract(s, d):
     g = gathered(s, d)
-    g = g.withColumns(totals.printed_totals(F.col("text"), F.col("layout")))
+    g = g.withColumns({"text_words": texts.words_in(F.col("text")), "layout_words": texts.words_in(F.col("layout"), F.col("text"))})
+    g = g.withColumns(totals.printed_totals(F.col("text"), F.col("layout"), (F.col("text_words"), F.col("layout_words"))))
     g = g.withColumns({c: values.money(F.col(c)) for c in ("t_excl", "t_gst", "t_incl")})
     return totals.balance_totals(g, "t_excl", "t_gst", "t_incl", CFG).select("doc_id", "t_excl", "t_gst", "t_incl")
 

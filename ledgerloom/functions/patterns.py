@@ -100,6 +100,22 @@ AMOUNT_INCL = (
     + r"[ \t:]{0,10}" + AMOUNT + r"(?!\s*%)",
 )
 
+# Words a text must hold before a pattern of the list above with that name can match, one tuple of alternatives for
+# each pattern; an empty tuple stands for a pattern that has no such word.
+CODES = ("SGD", "USD", "EUR", "GBP", "JPY", "RMB", "CNY")
+NEEDED = {
+    INVOICE_NO: (("INVOICE",), ("INVOICE",), ("INVOICE",), ("INV",), ("DOC",), ("NO",), ("INVOICE",)),
+    INVOICE_DATE: (("DATED",), ("INVOICE",), ("DATE",), ("INVOICE",), ("DATE",), ("INVOICE",)),
+    PO_NO: (("NO", "NUMBER"), ("YOUR",), ("PURCHASE",)),
+    DUE_DATE: (("DUE",),),
+    CURRENCY_IN_CONTEXT: (CODES, CODES, ("AMOUNT",), CODES),
+    AMOUNT_EXCL: (("PAYABLE",), ("NET",), ("SUBTOTAL",), ("SUBTOTAL",), ("TOTAL",), ("UNTAXED",)),
+    GST: (("ADD",), ("ADD",), ("TAX",), ("TOTAL",), ("TAX",), ("GST",)),
+    AMOUNT_INCL: (("BALANCE",), ("DUE",), ("GRAND",), ("AMOUNT",), ("SAY",), ("BALANCE",), ("TOTAL",), ("TOTAL",),
+                  ("TOTAL",), ("TOTAL",)),
+}
+PATTERN_WORDS = {p: words for patterns, needed in NEEDED.items() for p, words in zip(patterns, needed, strict=True)}
+
 # Parts of a file name's parentheses that are remarks and not a supplier.
 NAME_REMARK = (
     r"(out\s*of|\bitem\b|\bpc?s\b|\bpieces?\b|\bbottles?\b|\bboxes?\b|\bvials?\b"
