@@ -34,11 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
 _STORED: list[str] = []
 
 
+#: Once a table is stored, the shuffles that made it are of no use; this deletes them when its write ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Store a frame as a parquet table and read it back with column pruning and pushdown."""
+    conf = df.sparkSession.conf
     folder = f"{shared_folder(df.sparkSession)}/ledgerloom/{uuid.uuid4().hex}"
     _STORED.append(folder)
-    df.write.parquet(f"{folder}/{name}")
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(f"{folder}/{name}")
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
