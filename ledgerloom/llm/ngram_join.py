@@ -8,12 +8,13 @@ the incidence matrix. N-grams that many documents hold come last in the order; t
 2. The columns are dealt out over tasks; hot ones in blocks of rows. Columns with one row contribute nothing and go.
 3. Each row is compared with the smallest row of its column, exactly, unless sizes or sketches (see 4) rule the pair out;
    the links found give first groups.
-4. Of pairs in one column, only those between different groups are left to decide. Their products are taken block by
-   block, and pairs go whose size, place or parity sketch bounds the overlap below the threshold: in the first column two
-   sets share, they share at most that one and what either has behind it; and they differ in at least as many elements as
-   in sketch bits.
-5. For the remaining pairs the whole overlap is accumulated, exactly. Links give the final groups; no link between
-   different groups is missed.
+4. Of pairs in one column, only those between different groups are left to decide. Their products are taken in tiles of
+   two row blocks, and pairs go whose size, place or parity sketch bounds the overlap below the threshold: in the first
+   column two sets share, they share at most that one and what either has behind it; and they differ in at least as many
+   elements as in sketch bits.
+5. For the remaining pairs the whole overlap is accumulated, exactly. Small columns give all their pairs; large ones first
+   a spanning forest over the nearest sketches, whose links join nearly all that belongs together, and then all pairs
+   that are still between different groups. Links give the final groups; no link between different groups is missed.
 
 Sets travel only for rows that take part in a comparison. A comparison of one row with very many is split by salt.
 
@@ -46,8 +47,7 @@ MAX_HOT = 65_536
 HOT_FROM = 64
 BLOCK_ROWS = 2048
 SALT_ROWS = 1000
-LEAD_ROUNDS = 2
-LEAD_FROM = 24
+LIST_TO = 24
 SKETCH_WORDS = 8
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -270,32 +270,35 @@ def allowed(percent: int, x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np
     return ok
 
 
-def drawn_leads(percent: int, seed: int) -> ArrowMap:
-    """Pairs of each entry with one row of its (large) column block, drawn by a hash of row and column: at most one pair an entry.
+def spanning(percent: int, n: np.ndarray, place: np.ndarray, label: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows of one tile that join all its groups by what is left to decide, the nearest sketches first.
 
-    A row meets as many different rows as it has columns, so groups whose smallest row is not near all others still
-    grow together before all pairs between groups are looked at.
+    A minimum spanning forest, grown row by row: rows of one group are joined already, pairs that are ruled out join
+    nothing. Fewer pairs than rows, held in memory that grows with the rows only.
+    """
+    far = np.iinfo(np.int64).max
+    near, via = np.full(len(n), far), np.zeros(len(n), np.int64)
+    out, left, i = [], np.arange(1, len(n)), 0
+    while len(left):
+        at = np.full(len(left), i)
+        ok = allowed(percent, at, left, n, place, label, bits)
+        step = np.where(label[left] == label[i], -1, far)
+        step[ok] = np.bitwise_count(bits[left[ok]] ^ bits[i]).sum(axis=1)
+        closer = step < near[left]
+        near[left[closer]], via[left[closer]] = step[closer], i
+        k = int(near[left].argmin())
+        i = int(left[k])
+        left = np.delete(left, k)
+        if 0 <= near[i] < far:
+            out.append((i, int(via[i])))
+    return out
+
+
+def products(percent: int, list_to: int | None = None) -> ArrowMap:
+    """Pairs of different groups in the tiles of a task that sizes, places and sketches allow.
+
+    With ``list_to``, columns of more rows (and those in blocks) give the pairs of a spanning forest per tile instead of all.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["g", "block"]):
-            g, rep, n, place, label = (t[c].to_numpy() for c in ("g", "rep", "n", "place", "label"))
-            bits = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-            first = group_starts(g, t["block"].to_numpy())
-            sizes = np.diff(np.append(first, len(g)))
-            draw = mixed(mixed(rep.astype(np.uint64) + np.uint64(seed)) ^ g.astype(np.uint64))
-            by_draw = np.lexsort((draw, np.repeat(np.arange(len(first)), sizes)))
-            y, x = np.repeat(by_draw[first], sizes), np.arange(len(g))
-            ok = allowed(percent, x, y, n.astype(np.int64), place, label, bits)
-            a, b = rep[x[ok]], rep[y[ok]]
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in pair], ["a", "b"])
-
-    return run
-
-
-def products(percent: int) -> ArrowMap:
-    """Pairs of different groups in the column blocks of a task that sizes, places and sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["g", "bi", "bj"], 200_000):
@@ -307,6 +310,14 @@ def products(percent: int) -> ArrowMap:
             n = n.astype(np.int64)
             found: list[np.ndarray] = []
             size, live, d = 0, np.arange(len(rep)), 1
+            if list_to is not None:
+                large = t["large"].to_numpy()
+                for i, j in zip(first[large[first]].tolist(), end[first[large[first]]].tolist()):
+                    pairs = spanning(percent, n[i:j], place[i:j], label[i:j], bits[i:j])
+                    if pairs:
+                        x, y = rep[i:j][np.array(pairs).T]
+                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                live = live[~large]
             while len(live := live[live + d < end[live]]):
                 j = live + d
                 ok = allowed(percent, live, j, n, place, label, bits) & (~cross[live] | (block[live] != block[j]))
@@ -391,6 +402,8 @@ def hot_columns(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their whole sets."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs.withColumn("shared", F.lit(0).cast("long"))
     members = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     roles = written(salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(False).alias("leads")).union(
@@ -422,17 +435,27 @@ def still_mixed(entries: DataFrame, rows: DataFrame, groups: DataFrame) -> DataF
     return entries.join(mixed_columns.hint("merge"), "g", "left_semi").join(info.hint("merge"), "rep")
 
 
+def tiles(entries: DataFrame) -> DataFrame:
+    """Entries dealt out by column and pair of row blocks."""
+    paired = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n",
+        "place", "large", "label", "sketch")
+    return paired.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj")
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS, list_to: int = LIST_TO) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest id reachable over links."""
     keyed = keyed_rows(docs, id_col, F.xxhash64(text_col))
     if keyed is None:
-        return groups_by_id(docs, n, percent, id_col, text_col, block_rows)
-    out = groups_by_id(keyed.select("key", F.col(f"of.`{text_col}`").alias("text")), n, percent, "key", "text", block_rows)
+        return groups_by_id(docs, n, percent, id_col, text_col, block_rows, list_to)
+    out = groups_by_id(keyed.select("key", F.col(f"of.`{text_col}`").alias("text")), n, percent, "key", "text",
+                       block_rows, list_to)
     return ids_back(out, keyed, id_col, "doc_id", "component_id")
 
 
-def groups_by_id(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def groups_by_id(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block_rows: int = BLOCK_ROWS,
+                 list_to: int = LIST_TO) -> DataFrame:
     """``similar_groups`` where ids are unique and not null."""
     if not (n >= 1 and 0 < percent <= 100):
         raise ValueError("n must be positive and percent in 1 to 100")
@@ -460,22 +483,14 @@ def groups_by_id(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
     size_allows = f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
     near = sketch_allows(written(star.union(over_blocks).where(size_allows).distinct(), "star"), rows, percent)
     links = written(verified(near, texts, n, percent).select("a", "b"), "links")
-    every = met.select("g", "blocks", "block", "rep", "n", "place")
-    # Only large columns list many pairs, so only they draw leads first.
-    open_ = met.where(F.col("held") >= LEAD_FROM).select(*every.columns)
-    for seed in range(LEAD_ROUNDS):
-        open_ = written(still_mixed(open_, rows, components(links)), "open")
-        pairs = open_.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(
-            drawn_leads(percent, seed), "a long, b long")
-        links = written(links.union(verified(pairs, texts, n, percent).select("a", "b")), "links")
-        open_ = open_.drop("label", "sketch")
-    open_ = still_mixed(every, rows, components(links))
-    paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n",
-        "place", "label", "sketch")
-    pairs = paired.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(
-        products(percent), "a long, b long")
-    more = verified(pairs, texts, n, percent).select("a", "b")
+    every = met.select("g", "blocks", "block", "rep", "n", "place", F.expr(f"blocks > 1 or held > {list_to}").alias("large"))
+    open_ = written(still_mixed(every, rows, components(links)), "open")
+    tried = written(tiles(open_).mapInArrow(products(percent, list_to), "a long, b long").distinct(), "tried")
+    links = written(links.union(verified(tried, texts, n, percent).select("a", "b")), "links")
+    # All pairs of the other columns are decided.
+    open_ = still_mixed(open_.where("large").drop("label", "sketch"), rows, components(links))
+    pairs = tiles(open_).mapInArrow(products(percent), "a long, b long").distinct()
+    more = verified(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), texts, n, percent).select("a", "b")
     of_rep = components(links.union(more))
 
     placed = of_docs.join(classes.hint("merge"), ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
