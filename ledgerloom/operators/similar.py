@@ -1,11 +1,91 @@
-"""Similarity join of supplier keys, without a product of the two sides."""
+"""Similarity join of supplier keys, without a product of the two sides.
+
+Short names meet on what is left of them after the letters that a similar name may lack are dropped: equal remains
+are rare, so the work follows the pairs found. Dropping letters from long names gives too many remains; those meet
+on rare letter pairs instead.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.config import Config
+from ledgerloom.functions.shipping import ship_with_tasks
 from ledgerloom.functions.similarity import similarity
+from ledgerloom.sources.scratch import written
+
+ship_with_tasks(__name__)
+
+#: A length whose names, or their counterparts, leave more remains of one kind than this is looked up by letter pairs.
+MOST_REMAINS = 400
+
+
+def common_letters(m: int, n: int, threshold: float) -> int:
+    """Fewest letters in common of two texts of these lengths whose ratio reaches the threshold."""
+    return ceil(threshold * (m + n) / 200.0 - 1e-9)
+
+
+def meetings(m: int, threshold: float) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...], tuple[tuple[int, int], ...]] | None:
+    """How a name of ``m`` letters meets longer ones: lengths of its remains, (window, remains) and (whole, remains).
+
+    A window of ``m`` letters stands anywhere in the longer name, a shorter one at either end of it. Where a shorter
+    window asks for as many letters as a longer one, the longer one holds them too. None if there are too many remains.
+    """
+    windows: dict[int, int] = {}
+    for w in range(m, 0, -1):
+        letters = common_letters(m, w, threshold)
+        if letters <= w:
+            windows.setdefault(letters, w)
+    wholes, n = [], m + 1
+    while (letters := common_letters(m, n, threshold)) <= m:
+        wholes.append((n, letters))
+        n += 1
+        if n > 4 * m + 4:
+            return None
+    kept = {*windows, *(k for _, k in wholes)}
+    sizes = [comb(m, k) for k in kept] + [comb(w, k) for k, w in windows.items()] + [comb(n, k) for n, k in wholes]
+    if m == 0 or min(kept, default=0) < 1 or max(sizes) > MOST_REMAINS:
+        return None
+    return tuple(sorted(kept)), tuple((w, k) for k, w in windows.items()), tuple(wholes)
+
+
+def meeting_plan(threshold: float) -> dict[int, tuple]:
+    """``meetings`` of all lengths from 1 up to the first with too many remains."""
+    plan, m = {}, 1
+    while m <= 64 and (how := meetings(m, threshold)) is not None:
+        plan[m], m = how, m + 1
+    return plan
+
+
+def _remains(text: str, k: int) -> set[str]:
+    return {"".join(c) for c in combinations(text, k)}
+
+
+def short_remains(name: str, plan: dict[int, tuple]) -> set[str]:
+    return {r for k in plan[len(name)][0] for r in _remains(name, k)}
+
+
+def long_remains(name: str, lengths: list[int], plan: dict[int, tuple]) -> dict[int, set[str]]:
+    """Per length of shorter names, the remains that one of them must share."""
+    out = {}
+    for m in lengths:
+        if m > len(name):
+            continue
+        _, windows, wholes = plan[m]
+        found = out[m] = set()
+        for w, k in windows:
+            starts = range(len(name) - m + 1) if w == m else (0, len(name) - w)
+            for i in starts:
+                found |= _remains(name[i:i + w], k)
+        for n, k in wholes:
+            if n == len(name):
+                found |= _remains(name, k)
+    return out
 
 
 def min_common_bigrams(length: Column, threshold: float) -> Column:
@@ -77,16 +157,44 @@ def _candidates(short: DataFrame, long: DataFrame, threshold: float) -> DataFram
             .select("short", "long").distinct())
 
 
+def _met(short: DataFrame, long: DataFrame, plan: dict[int, tuple]) -> DataFrame:
+    """(short, long): pairs that share a remain, of shorter names up to the lengths of the plan."""
+    short = short.where(F.length("name").between(1, len(plan))).select("name")
+    lengths = sorted(r["m"] for r in short.select(F.length("name").alias("m")).distinct().collect())  # a row a length
+
+    def of_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(n, len(n), r) for n in b.name for r in short_remains(n, plan)],
+                               columns=["short", "m", "remain"])
+
+    def of_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):  # a long name meets every shorter length and may leave thousands of remains
+                yield pd.DataFrame([(n, m, r) for n in b.name[at:at + 256]
+                                    for m, found in long_remains(n, lengths, plan).items() for r in found],
+                                   columns=["long", "m", "remain"])
+
+    s = short.mapInPandas(of_short, "short string, m int, remain string")
+    t = long.select("name").mapInPandas(of_long, "long string, m int, remain string")
+    return s.join(t, ["m", "remain"]).select("short", "long").distinct()
+
+
 def similar_names(left: DataFrame, right: DataFrame, cfg: Config) -> DataFrame:
     """(left_name, right_name, similarity) of all pairs of distinct names at or above the threshold.
 
     Takes frames with a column ``name``; only distinct names are compared, so the cost follows the
-    number of suppliers and not the number of rows.
+    number of suppliers and not the number of rows. They are stored, as each side is read several times.
     """
     t = cfg.similarity_threshold
-    a, b = _names(left), _names(right)
-    forward = _candidates(a, b, t).select(F.col("short").alias("left_name"), F.col("long").alias("right_name"))
-    backward = _candidates(b, a, t).select(F.col("long").alias("left_name"), F.col("short").alias("right_name"))
+    plan = meeting_plan(t)
+    a, b = (written(_names(df), "names") for df in (left, right))
+
+    def pairs(short: DataFrame, long: DataFrame) -> DataFrame:
+        rest = F.length("name") > len(plan)
+        return _met(short, long, plan).unionByName(_candidates(short.where(rest), long.where(rest), t))
+
+    forward = pairs(a, b).select(F.col("short").alias("left_name"), F.col("long").alias("right_name"))
+    backward = pairs(b, a).select(F.col("long").alias("left_name"), F.col("short").alias("right_name"))
     spread = a.sparkSession.sparkContext.defaultParallelism
     return (forward.unionByName(backward).distinct().repartition(spread)
             .withColumn("similarity", similarity(F.col("left_name"), F.col("right_name")))
