@@ -101,13 +101,22 @@ def words_of(low: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+def any_word(words: list[str]) -> str:
+    """A pattern of any of the words, as a tree of their letters: a word of the text is given up at its first odd letter."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    branches = [(re.escape(h) + any_word(rest)) if h else "" for h, rest in sorted(heads.items(), reverse=True)]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
 def one_spelling(words: Column) -> Column:
     """The words with equivalent spellings made one; blank if there are none. Most texts need one look only."""
     pairs = [(f" {a.replace('-', ' ')} ", f" {b.replace('-', ' ')} ") for a, b in EQUIVALENT]
     changed = words
     for one, other in pairs:
         changed = F.replace(changed, F.lit(one), F.lit(other))
-    any_of = " (?:" + "|".join(one.strip() for one, _ in pairs) + ") "
+    any_of = " " + any_word([one.strip() for one, _ in pairs]) + " "
     return F.trim(F.when(words.rlike(any_of), changed).otherwise(words))
 
 
@@ -127,8 +136,10 @@ def known_licenses(spark: SparkSession, extra: DataFrame | None = None) -> DataF
     rows = spark.createDataFrame(list(KNOWN), "license string, text string")
     if extra is not None:
         rows = rows.unionByName(extra.select("license", "text"))
-    return with_digest(rows, F.col("text"), "license").where("digest <> ''").groupBy("digest").agg(
-        F.min("license").alias("license"))
+    # Null, not a comparison with the empty digest: Spark would ask the texts that are joined for the same comparison, ahead of
+    # the steps that make their digest, and compute all of them several times.
+    found = with_digest(rows, F.col("text"), "license").select("license", F.nullif("digest", F.lit("")).alias("digest"))
+    return found.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

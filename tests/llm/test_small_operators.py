@@ -148,3 +148,11 @@ def test_no_pages_and_damaged_archives(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(pages(spark, []), str(tmp_path / "none"))).count() == 0
     with pytest.raises(ValueError):
         warc.dictionary_of(b"not an archive")
+
+
+def test_lines_are_brought_to_canonical_form_once(spark):
+    """No filter inferred from the known digests repeats the steps ahead of them."""
+    docs = documents(spark, ["a\nReleased under the MIT License.\nb"])
+    plan = license_scan.scan_lines(docs, license_scan.known_licenses(spark))._jdf.queryExecution().optimizedPlan().toString()
+    of_lines = plan.split("Aggregate [digest")[0]
+    assert "Generate" in of_lines and of_lines.count("RLIKE") == 1
