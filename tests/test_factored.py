@@ -97,3 +97,22 @@ def test_pairs_of_an_order_read_from_text(spark):
     assert dict(c.prepared.dtypes)["file_order"] == "bigint"
     got = {r.doc_id: (r.match_level, r.outcome, r.pair_row) for r in c.documents.collect()}
     assert got == {11: ("order_pair", "discrepancy", 1), 12: ("order_pair", "matched", 2), 21: ("number", "matched", None)}
+
+
+def test_documents_without_correction_do_not_meet_in_one_task(spark):
+    """Only corrected documents are looked up by their ledger row; the others must not share a null key."""
+    n = 400
+    rows = ledger(spark, [ledger_row(i, f"INV-{i}", f"PO{i}", "10.00") for i in range(1, n + 1)])
+    inv = invoices(spark, [invoice_row(i, f"INV-{i}", f"PO{i}", "10.00") for i in range(1, n + 1)])
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        c = Cascade(rows, inv, Config())
+        links = outcome_lines.ledger_links(c.ledger, c.documents, c.claimed, c.decisions)
+        heads = outcome_lines.merged_heads(c.documents, links, inv, Config())
+        sizes = [r["count"] for r in heads.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n and max(sizes) < n / 2
