@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerloom.sources.scratch import cut
+
 RADIX_DIGITS = 6
 LEVELS = 3
 
@@ -13,18 +15,20 @@ LEVELS = 3
 def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n_values, median) of a decimal(18,2) column, NULLs left out.
 
-    Values are first counted per distinct amount. The middle ranks are then located digit block by digit
-    block: each level keeps at most a million counters per key, whatever the number of rows or distinct
-    amounts, so even a key with a third of all rows never fills one task.
+    The middle ranks are located digit block by digit block: each level keeps at most a million counters per
+    block of the level before, whatever the number of rows or distinct amounts, so even a key with a third of all
+    rows never fills one task. All levels but the last read the rows once, as counts per block, which combine before
+    the shuffle; the last reads only the rows of the blocks that hold a middle rank.
     """
     base = 10 ** RADIX_DIGITS
-    cents = (F.col(value) * 100).cast("bigint")
     blocks = [F.floor(F.col("cents") / F.lit(base ** (LEVELS - 1 - i)).cast("decimal(20,0)")).cast("bigint")
               for i in range(LEVELS)]
-    counts = (df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-              .groupBy(F.col(key).alias("k"), cents.alias("cents")).agg(F.count("*").alias("c")))
-    counts = counts.withColumns({f"b{i}": b for i, b in enumerate(blocks)})
-    sizes = counts.groupBy("k").agg(F.sum("c").alias("n_values"))
+    rows = (df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+            .select(F.col(key).alias("k"), (F.col(value) * 100).cast("bigint").alias("cents"))
+            .withColumns({f"b{i}": b for i, b in enumerate(blocks)}).withColumn("c", F.lit(1).cast("bigint")))
+    upper = [f"b{i}" for i in range(LEVELS - 1)]
+    coarse = cut(rows.groupBy("k", *upper).agg(F.sum("c").alias("c")))
+    sizes = coarse.groupBy("k").agg(F.sum("c").alias("n_values"))
     targets = sizes.select("k", "n_values", F.explode(F.array_distinct(F.array(
         F.floor((F.col("n_values") + 1) / 2), F.floor(F.col("n_values") / 2) + 1))).alias("rank"))
 
@@ -33,7 +37,8 @@ def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
         within = ["k"] + [f"b{level - 1}"] if level else ["k"]
         block = f"b{level}"
         wanted = state.select(*within).distinct()
-        hist = counts.join(wanted, within, "left_semi").groupBy(*within, block).agg(F.sum("c").alias("c"))
+        counted = coarse if level < LEVELS - 1 else rows
+        hist = counted.join(wanted, within, "left_semi").groupBy(*within, block).agg(F.sum("c").alias("c"))
         upto = hist.withColumn("upto", F.sum("c").over(
             Window.partitionBy(*within).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)))
         return (state.join(upto, within)

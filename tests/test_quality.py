@@ -148,3 +148,11 @@ def test_candidates_equal_a_full_ranking(spark):
     for r in rank_candidates(frame, ledger(spark, led), CFG).orderBy("doc_id", "rank").collect():
         got.setdefault(r.doc_id, []).append(r.invoice_number)
     assert got == brute_force(docs, groups, sims)
+
+
+def test_median_moves_counts_of_blocks_and_not_every_amount(spark):
+    df = spark.createDataFrame([("A", D(f"{v}.25")) for v in (1, 2, 3, 40000, 500000)] + [("B", D("-7.00")), ("B", None)],
+                               "k string, v decimal(18,2)")
+    m = exact_median(df, "k", "v")
+    assert {r["k"]: (r["n_values"], r["median"]) for r in m.collect()} == {"A": (5, D("3.250")), "B": (1, D("-7.000"))}
+    assert "_groupingexpression" not in m._jdf.queryExecution().optimizedPlan().toString()  # no group per amount of all rows
