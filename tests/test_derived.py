@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from checks.queries import QUERIES
 from ledgerloom.sources import derived as D
 
 DATA = "/root/testdata/sf0.001"
@@ -19,3 +20,12 @@ def test_invoices_are_a_view_with_the_rows_of_the_statement(spark):
     got = got.select(*cols, "subtotal.amount_excl", "subtotal.amount_incl")
     want = want.select(*cols, "excl", "incl")
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_tables_are_read_once(spark):
+    """No filter repeats the reading of the tables, and empty rows are dropped once a table, not once an entry."""
+    got = QUERIES["table_kv"](spark, DATA)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(") == 1
+    assert not got.isEmpty()
