@@ -12,12 +12,11 @@ from ledgerloom.sources.scratch import cut
 
 def number_groups(ledger: DataFrame) -> DataFrame:
     """One row per ledger number: its amount, and supplier and date of its first row."""
-    keyed = ledger.where("invoice_key is not null")
-    sums = keyed.groupBy("invoice_key").agg(
-        F.coalesce(F.sum("incl"), F.lit(0)).try_cast("decimal(18,2)").alias("amount"), F.min("row_no").alias("row_no"))
-    first = keyed.select("row_no", "supplier_key", F.col("invoice_date").alias("ledger_date"),
-                         "invoice_number", F.col("supplier").alias("ledger_supplier"))
-    return sums.join(first, "row_no").where("supplier_key is not null").drop("row_no")
+    first = F.min(F.struct("row_no", "supplier_key", F.col("invoice_date").alias("ledger_date"),
+                           "invoice_number", F.col("supplier").alias("ledger_supplier")))
+    return (ledger.where("invoice_key is not null and row_no is not null").groupBy("invoice_key").agg(
+        F.coalesce(F.sum("incl"), F.lit(0)).try_cast("decimal(18,2)").alias("amount"), first.alias("first"))
+        .select("invoice_key", "amount", "first.*").drop("row_no").where("supplier_key is not null"))
 
 
 def _keep_smallest_keys(points: DataFrame, group: list[str], limit: int) -> DataFrame:
@@ -27,6 +26,25 @@ def _keep_smallest_keys(points: DataFrame, group: list[str], limit: int) -> Data
     return points.withColumn("rn", rn).where(F.col("rn") <= limit).drop("rn")
 
 
+def _days_asked(queries: DataFrame, points: DataFrame, reach: int) -> DataFrame:
+    """Queries with each ``ledger_date`` in reach on which their supplier has points.
+
+    Most days in reach have none. Days are kept in blocks as long as a reach, so a query meets two blocks of its
+    supplier and not every day of them.
+    """
+    def block(day: Column) -> Column:
+        return F.floor(F.unix_date(day) / (2 * reach + 1))
+
+    days = points.where("ledger_date is not null").select("supplier_key", "ledger_date").distinct().groupBy(
+        "supplier_key", block(F.col("ledger_date")).alias("block")).agg(F.collect_list("ledger_date").alias("days"))
+    first, last = F.date_sub("query.date", reach), F.date_add("query.date", reach)
+    met = queries.where("query.date is not null").withColumns({
+        "first": first, "last": last, "block": F.explode(F.array_distinct(F.array(block(first), block(last))))})
+    return met.join(days, ["supplier_key", "block"]).select(
+        *queries.columns, "first", "last", F.explode("days").alias("ledger_date")).where(
+        "ledger_date between first and last").drop("first", "last")
+
+
 def _nearest(probes: DataFrame, points: DataFrame, part: list[str], limit: int) -> DataFrame:
     """(query, invoice_key): for each probe the ``limit`` nearest amounts on either side in its part.
 
@@ -55,11 +73,14 @@ def _nearest(probes: DataFrame, points: DataFrame, part: list[str], limit: int)
 def _nearest_of(queries: DataFrame, points: DataFrame, keys: list[str], buckets: Column, limit: int) -> DataFrame:
     """(query, invoice_key) of the nearest amounts among points with equal keys.
 
-    Only distinct keys and totals are looked up, so queries that share them do not crowd one part.
+    Only distinct keys and totals are looked up, so queries that share them do not crowd one part. Points of parts that
+    nobody asks for are left out first.
     """
     asked = queries.where("query.total is not null").withColumn("total", F.col("query.total"))
     probes = asked.select(*keys, "total").distinct().withColumn("query", F.struct(*keys, "total"))
-    found = _nearest(probes.withColumn("bucket", buckets), points, [*keys, "bucket"], limit).distinct()
+    probes, part = probes.withColumn("bucket", buckets), [*keys, "bucket"]
+    points = points.join(probes.select(*part).distinct(), part, "left_semi")
+    found = _nearest(probes, points, part, limit).distinct()
     return asked.join(found.select("query.*", "invoice_key"), [*keys, "total"]).select("query", "invoice_key")
 
 
@@ -95,8 +116,7 @@ def rank_candidates(docs: DataFrame, ledger: DataFrame, cfg: Config) -> DataFram
     def bucket(amount: Column) -> Column:
         return F.floor(amount / width)
 
-    dated = queries.withColumn("ledger_date", F.explode(F.sequence(
-        F.date_sub("query.date", reach), F.date_add("query.date", reach))))
+    dated = cut(_days_asked(queries, points, reach))
     by_amount = F.explode(F.array_distinct(F.array(
         bucket(F.col("query.total") - cfg.amount_weight), bucket(F.col("query.total") + cfg.amount_weight))))
     amounts = points.withColumn("bucket", bucket(F.col("amount")))

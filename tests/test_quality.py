@@ -1,5 +1,5 @@
 import random
-from datetime import timedelta
+from datetime import date, timedelta
 from decimal import Decimal as D
 from statistics import median
 
@@ -156,3 +156,16 @@ def test_median_moves_counts_of_blocks_and_not_every_amount(spark):
     m = exact_median(df, "k", "v")
     assert {r["k"]: (r["n_values"], r["median"]) for r in m.collect()} == {"A": (5, D("3.250")), "B": (1, D("-7.000"))}
     assert "_groupingexpression" not in m._jdf.queryExecution().optimizedPlan().toString()  # no group per amount of all rows
+
+
+def test_days_in_reach_are_those_with_points(spark):
+    """Against all pairs: days before 1970, at both ends of a reach, of other suppliers, shared and missing ones."""
+    from ledgerloom.operators.candidates import _days_asked
+    asked = [(q, s, date(1969, 11, 20) + timedelta(days=q * 17)) for q in range(9) for s in "AB"] + [(99, "A", None)]
+    points = [(s, date(1969, 10, 1) + timedelta(days=n * m)) for n in range(60) for s, m in (("A", 4), ("A", 6), ("C", 1))]
+    queries = spark.createDataFrame(asked, "q int, supplier_key string, date date").selectExpr(
+        "struct(q as name, date, 1 as total) as query", "supplier_key")
+    got = _days_asked(queries, spark.createDataFrame(points + [("A", None)], "supplier_key string, ledger_date date"), 29)
+    want = {(q, s, day) for q, s, at in asked for t, day in points if s == t and at and abs((day - at).days) <= 29}
+    got = [(r.query.name, r.supplier_key, r.ledger_date) for r in got.collect()]
+    assert want and sorted(got) == sorted(want)
