@@ -75,15 +75,22 @@ def unique_folds(totals: DataFrame) -> DataFrame:
             .where("n_keys = 1").drop("n_keys"))
 
 
-def match_by_number(docs: DataFrame, totals: DataFrame) -> DataFrame:
-    """Levels 1 and 2: the exact number, else for scans the number up to misread characters."""
+def match_by_number(docs: DataFrame, totals: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Levels 1 and 2: the exact number, else for scans the number up to misread characters.
+
+    The scans' numbers find their folds first and then meet the documents by the number, like the exact ones, so the
+    documents are moved once. ``scans`` may be any cheaper table with the numbers of at least all scanned documents.
+    """
     exact = totals.select(F.col("invoice_key").alias("exact_key"), F.col("key_incl").alias("exact_incl"))
-    d = docs.withColumn("probe", spread_null(F.col("invoice_key"), F.col("doc_id")))
-    d = d.join(exact, d.probe == exact.exact_key, "left").drop("probe")
-    fold_probe = F.when(F.col("ocr") & F.col("exact_key").isNull(), fold_key(F.col("invoice_key")))
-    d = d.withColumn("probe", spread_null(fold_probe, F.col("doc_id")))
+    read = (docs if scans is None else scans).where("ocr and invoice_key is not null").select(
+        F.col("invoice_key").alias("read_key")).distinct().withColumn("read_fold", fold_key(F.col("read_key")))
     folds = unique_folds(totals)
-    d = d.join(folds, d.probe == folds.fold, "left").drop("probe", "fold")
+    folds = read.join(folds, read.read_fold == folds.fold).drop("read_fold", "fold")
+    d = docs.withColumn("probe", spread_null(F.col("invoice_key"), F.col("doc_id")))
+    d = d.join(exact, d.probe == exact.exact_key, "left")
+    d = d.join(folds, d.probe == folds.read_key, "left").drop("probe", "read_key")
+    asked = F.col("ocr") & F.col("exact_key").isNull()
+    d = d.withColumns({c: F.when(asked, F.col(c)) for c in ("fold_key", "fold_incl", "fold_first_row")})
     return d.withColumns({
         "number_level": F.when(F.col("exact_key").isNotNull(), F.lit("number"))
         .when(F.col("fold_key").isNotNull(), F.lit("folded")),
@@ -131,15 +138,19 @@ def outcome_of(ledger_incl: Column, total: Column, cfg: Config) -> Column:
 
 
 def settle(tagged: DataFrame, decisions: DataFrame, ledger: DataFrame, cfg: Config) -> DataFrame:
-    """One row per document with its level, the ledger amount it stands against and the outcome."""
-    d = tagged.withColumn("probe", spread_null(
-        F.when(F.col("number_level").isNull(), F.col("po_key")), F.col("doc_id")))
+    """One row per document with its level, the ledger amount it stands against and the outcome.
+
+    Documents that a number matched, usually most, need nothing from the orders and are not moved.
+    """
+    by_number = tagged.where("number_level is not null")
+    d = tagged.where("number_level is null").withColumn("probe", spread_null(F.col("po_key"), F.col("doc_id")))
     orders = decisions.withColumnRenamed("po_key", "order_key")
     d = d.join(orders, d.probe == orders.order_key, "left").drop("probe")
     pairs = pair_nearest(d.where("decision = 'pair'").select("doc_id", "po_key", "total", "pool_order"),
                          ledger.join(decisions.where("decision = 'pair'").select("po_key"), "po_key", "left_semi")
                          .select("po_key", "row_no", "incl"))
     d = d.join(pairs.withColumnRenamed("incl", "pair_incl").withColumnRenamed("row_no", "pair_row"), "doc_id", "left")
+    d = d.unionByName(by_number, allowMissingColumns=True)
     level = (F.when(F.col("number_level").isNotNull(), F.col("number_level"))
              .when(F.col("decision") == "batch", F.lit("order_batch"))
              .when(F.col("decision") == "pair", F.lit("order_pair"))

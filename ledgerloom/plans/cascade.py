@@ -25,16 +25,21 @@ class Cascade:
         self.ledger, self.invoices, self.cfg = reconcilable(ledger), invoices, cfg
 
     @cached_property
-    def prepared(self) -> DataFrame:
-        """Every document, with its duplicate and superseded marks.
+    def narrow(self) -> DataFrame:
+        """The columns matching works on, stored.
 
-        The narrow columns are stored first: an extraction is a long chain, and marking reads it many times. A file
-        order of another kind than a number, such as path and document, becomes one here; later steps see a bigint.
+        An extraction is a long chain, and marking reads it many times. A file order of another kind than a number, such
+        as path and document, becomes one here; later steps see a bigint.
         """
         narrow = matching.narrow_invoices(self.invoices)
         if dict(narrow.dtypes)["file_order"] == "bigint":
-            return matching.prepare(written(narrow, "narrow", compression="zstd"))
-        return matching.prepare(numbered(narrow, ["file_order", "doc_id"], "file_order"))
+            return written(narrow, "narrow", compression="zstd")
+        return numbered(narrow, ["file_order", "doc_id"], "file_order")
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """Every document, with its duplicate and superseded marks."""
+        return matching.prepare(self.narrow)
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -44,7 +49,7 @@ class Cascade:
     def tagged(self) -> DataFrame:
         """Live documents with the number match, if any."""
         live = self.prepared.where("not is_duplicate and not is_superseded")
-        return cut(matching.match_by_number(live, matching.number_totals(self.groups)))
+        return cut(matching.match_by_number(live, matching.number_totals(self.groups), self.narrow))
 
     @cached_property
     def claimed(self) -> DataFrame:

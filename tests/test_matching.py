@@ -5,6 +5,7 @@ import pytest
 
 from helpers import DAY, by_id, invoice_row, invoices, ledger, ledger_row
 from ledgerloom.config import Config
+from ledgerloom.operators import matching
 from ledgerloom.operators.pairing import pair_nearest
 from ledgerloom.plans.cascade import Cascade
 from ledgerloom.plans.reconcile import reconcile
@@ -147,3 +148,27 @@ def test_no_join_of_the_cascade_is_a_product(spark):
     for df in (c.decisions, c.documents, c.unused):
         plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_documents_move_once_for_numbers_and_not_at_all_once_matched(spark):
+    """Exact numbers and folds meet the documents in one shuffle; a fold counts for scans without an exact number only."""
+    led = ledger(spark, [ledger_row(1, "A-1001", "PO1", 10), ledger_row(2, "B-2002", "PO2", 20), ledger_row(3, "C-3003", "PO3", 30)])
+    inv = invoices(spark, [invoice_row(1, "A-1OO1", incl=10, ocr=True), invoice_row(2, "B-2OO2", incl=20),
+                           invoice_row(3, "C-3003", incl=30, ocr=True), invoice_row(4, "A-1OO1", incl=10),
+                           invoice_row(5, None, "PO2", 20, ocr=True)])
+    c = Cascade(led, inv, CFG)
+    # document 1 gives way to its later copy 4 and is tagged here on its own
+    tagged = matching.match_by_number(matching.prepare(c.narrow), matching.number_totals(c.groups), c.narrow)
+    assert by_id(tagged, "number_level", "real_key", "first_corrected_row") == {
+        1: ("folded", "A-1001", 1), 2: (None, None, None), 3: ("number", "C-3003", None), 4: (None, None, None),
+        5: (None, None, None)}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = matching.match_by_number(c.narrow, matching.number_totals(c.groups), c.narrow)
+        plan = again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning(probe#") == 1
+    settled = matching.settle(c.tagged, c.decisions, c.ledger, CFG)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in settled and by_id(c.documents, "outcome")[3] == "matched"
