@@ -144,6 +144,15 @@ def _rarest_marks(short: DataFrame, long: DataFrame, threshold: float) -> DataFr
             .where(F.col("rank") <= F.col("length") - F.col("needed")))
 
 
+def _merged(s: DataFrame, t: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of the pieces of names, never by broadcast.
+
+    Spark judges the pieces by the file of the names they come from. They are up to a hundred times as large, and a
+    broadcast would gather them in the driver.
+    """
+    return s.hint("merge").join(t.hint("merge"), keys)
+
+
 def _candidates(short: DataFrame, long: DataFrame, threshold: float) -> DataFrame:
     """Pairs that share a mark and, for the shorter name, enough bigrams. No pair at the threshold is lost."""
     marked = long.where("length > 0").withColumn("mark", F.explode(F.concat("bigrams", _letters(F.col("name")))))
@@ -153,7 +162,7 @@ def _candidates(short: DataFrame, long: DataFrame, threshold: float) -> DataFram
     t = marked.select(F.col("name").alias("long"), F.col("bigrams").alias("long_bigrams"),
                       F.col("length").alias("long_length"), "mark")
     common = F.size(F.array_intersect("short_bigrams", "long_bigrams"))
-    return (s.join(t, "mark").where("short_length <= long_length").where(common >= F.col("needed"))
+    return (_merged(s, t, ["mark"]).where("short_length <= long_length").where(common >= F.col("needed"))
             .select("short", "long").distinct())
 
 
@@ -176,7 +185,7 @@ def _met(short: DataFrame, long: DataFrame, plan: dict[int, tuple]) -> DataFrame
 
     s = short.mapInPandas(of_short, "short string, m int, remain string")
     t = long.select("name").mapInPandas(of_long, "long string, m int, remain string")
-    return s.join(t, ["m", "remain"]).select("short", "long").distinct()
+    return _merged(s, t, ["m", "remain"]).select("short", "long").distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, cfg: Config) -> DataFrame:

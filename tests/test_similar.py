@@ -35,3 +35,14 @@ def test_many_remains_are_left_to_letter_pairs():
     t = CFG.similarity_threshold
     assert max(similar.meeting_plan(t)) == 11
     assert similar.meetings(12, t) is None and similar.meetings(40, t) is None
+
+
+def test_pieces_of_names_are_never_broadcast(spark):
+    t = CFG.similarity_threshold
+    names = spark.createDataFrame([("ACMETRADING",), ("ACMETRADNG",), ("GLOBALINDUSTRIALHOLDINGS",)], "name string")
+    names = similar.written(similar._names(names), "names")  # a file this small promises a small join
+    for pairs in (similar._met(names, names, similar.meeting_plan(t)), similar._candidates(names, names, t)):
+        plan = pairs._jdf.queryExecution().sparkPlan().toString()
+        pieces = [line for line in plan.split("\n") if "Join [m#" in line or "Join [mark#" in line and "Inner" in line]
+        assert pieces and all("SortMergeJoin" in line for line in pieces)
+        assert ("ACMETRADNG", "ACMETRADING") in {(r.short, r.long) for r in pairs.collect()}
