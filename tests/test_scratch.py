@@ -6,6 +6,7 @@ from helpers import invoice_row, invoices, ledger, ledger_row
 from ledgerloom.config import Config
 from ledgerloom.operators import outcome_lines
 from ledgerloom.plans.cascade import Cascade
+from ledgerloom.plans.reconcile import all_lines
 from ledgerloom.sources import scratch
 from pyspark.sql import functions as F
 
@@ -52,3 +53,26 @@ def test_links_move_keys_and_rows_without_an_order_keep_their_number(spark):
     assert {tuple(r) for r in links.collect()} == want
     full = outcome_lines.ledger_links(c.ledger, c.documents, c.claimed, c.decisions)
     assert {(r.row_no, r.group_key) for r in full.collect()} == want and full.columns == [*led.columns, "group_key"]
+
+
+def test_outcome_rows_leave_no_other_table_behind(spark):
+    led = ledger(spark, [ledger_row(1, "A-100", "PO1", 10), ledger_row(2, "A-200", "PO2", 5), ledger_row(3, None, "PO3", 5)])
+    inv = invoices(spark, [invoice_row(1, "A-100", "PO1", 10), invoice_row(2, "B-9", "PO9", 5), invoice_row(3, None, "PO3", 5)])
+    c = Cascade(led, inv, Config())
+    assert c.documents.count() == 3 and c.decisions.count() == 1
+    before = set(scratch.stored())
+    rows = all_lines(c, inv, Config())
+    assert {(r.outcome, r.doc_id, r.line_no) for r in rows.collect()} == {
+        ("matched", 1, 1), ("matched", 3, 3), ("invoice_only", 2, 0), ("ledger_only", None, 2)}
+    left = set(scratch.stored()) - before
+    assert len(left) == 3 and all(any(folder in f for folder in left) for f in rows.inputFiles())
+
+
+def test_links_of_far_and_negative_row_numbers(spark):
+    numbers = [-1, 0, 63, 64, 127, 128, 1 << 40, (1 << 62) + 5]
+    led = ledger(spark, [ledger_row(n, f"A-{i}00", "PO1", 10) for i, n in enumerate(numbers)])
+    inv = invoices(spark, [invoice_row(i, f"A-{i}00", "PO1", 10) for i in range(len(numbers))])
+    c = Cascade(led, inv, Config())
+    links = outcome_lines.ledger_links(c.ledger, c.documents, c.claimed, c.decisions)
+    assert {tuple(r) for r in links.select("row_no", "group_key").collect()} == {
+        (n, f"number:A-{i}00") for i, n in enumerate(numbers)}
