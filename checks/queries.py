@@ -209,13 +209,14 @@ def outcome_counts(s, d):
 
 def lines_of_run(s, d):
     c = cascade(s, d)
-    return c, written(all_lines(c, derived(s, d, "invoice"), CFG), "outcome", compression="zstd")
+    return c, all_lines(c, derived(s, d, "invoice"), CFG)
 
 
 @query
 def merged_lines(s, d):
     c = cascade(s, d)
     links = outcome_lines.ledger_links(c.ledger, c.documents, c.claimed, c.decisions)
+    links = cut(links.select("group_key", *outcome_lines.LISTED))
     return outcome_lines.merged_lines(c.documents, links, derived(s, d, "invoice"), CFG).drop("source_file")
 
 
